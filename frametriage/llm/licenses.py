@@ -81,6 +81,9 @@ OTHERS = [
     "Copyright law is taught in the second year of the course.",
     "Version 3 of the program was slower than version 2.",
 ]
+#: Common words, which are no evidence alone.
+COMMON = "a about all also an and any are as at be been but by can could did do for from had has have he her his i if in is it its may more most no not of on one only or other our out over she so some such than that the their them then there these they this to up was we were what when which who will with would you your".split()
+COMMON += "auch auf das dem den der des die ein eine es für im ist mit nicht sich und von zu au avec dans de du elle en est et la le les ou par pas pour que qui sur un une como con del el las los para por se su sus y".split()
 MARKS = str.maketrans(dict.fromkeys(".,;:()\"'!?", " "))
 
 
@@ -118,7 +121,7 @@ class LicenseModel:
     def __init__(self, variants: int = 60, seed: int = 3, steps: int = 250, rate: float = 4.0, decay: float = 2e-4, false_alarms: float = 0.0):
         r = random.Random(seed)
         parts = ["an", "the", "er", "in", "of", "to", "re", "ti", "on", "ha", "nd", "st", "que", "de", "la", "en", "ung", "lich", "os", "es"]
-        fillers = ["".join(r.choices(parts, k=r.choice([1, 1, 2, 3]))) for _ in range(600)]
+        fillers = ["".join(r.choices(parts, k=r.choice([1, 1, 2, 3]))) for _ in range(600)] + COMMON * 4
         self.classes = [NONE, *sorted(NOTICES)]
 
         def rows(n: int) -> list[tuple[list[str], int]]:
@@ -137,7 +140,7 @@ class LicenseModel:
             if self.classes[k] != NONE:
                 known.update({g: known.get(g, 0) + 1 for g in grams(own)})
         filler = set(fillers)
-        names = sorted(g for g, n in known.items() if n > 2 and not filler.intersection(g.split()))
+        names = sorted(g for g, n in known.items() if n > 2 and not filler.issuperset(g.split()))
         self.column = {g: i for i, g in enumerate(names)}
         x, y = self._matrix(train)
         w, b = np.zeros((len(names), len(self.classes))), np.zeros(len(self.classes))
@@ -159,7 +162,8 @@ class LicenseModel:
         alarms = np.sort(none[yh == 0])
         #: Below this probability of `none` a paragraph is a candidate.
         self.bound = float(min(0.5, alarms[int(false_alarms * len(alarms))]))
-        self.first = {g.split()[0] for g in names}
+        #: Every known n-gram has one of these.
+        self.telling = {w for g in names for w in g.split()} - filler
         self.templates = {k: [set(zip(t, t[1:], strict=False)) or {tuple(t)} for t in map(words_of, NOTICES[k])] for k in NOTICES}
 
     @staticmethod
@@ -176,7 +180,7 @@ class LicenseModel:
 
     def classify(self, words: list[str]) -> tuple[str, float]:
         """The likeliest family and 1 minus the probability of `none`; (none, that) if it is no candidate."""
-        if self.first.isdisjoint(words):
+        if self.telling.isdisjoint(words):
             hit = []
         else:
             column = self.column
@@ -207,7 +211,7 @@ def scan(text: str, model: LicenseModel) -> tuple[int, list[str], int, int, floa
             n += bool(paragraph.split())
             continue
         n += 1
-        if model.first.isdisjoint(words):
+        if model.telling.isdisjoint(words):
             continue  # no known n-gram: the bias alone says none
         name, score = model.classify(words)
         if name == NONE:
