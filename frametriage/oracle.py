@@ -128,7 +128,7 @@ FROM m a JOIN m b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <=
     "pseudo_epoch": f"WITH {_TIME} SELECT shot_id, {_epoch('capture_time')} AS epoch FROM t",
     "capture_gap": f"WITH {_TIME}, g AS (SELECT burst_id, min(capture_time) AS first, max(capture_time) AS last FROM t WHERE capture_time IS NOT NULL GROUP BY burst_id) SELECT burst_id, first, last, {_epoch('last')} - {_epoch('first')} AS gap FROM g",
     "oriented_aspect": f"WITH {_SCORES} SELECT shot_id, w, h, round(aspect, 6) AS aspect FROM x",
-    "crop_factor": f"WITH {_SCORES} SELECT shot_id, coalesce(round(CASE WHEN focal_mm > 0 AND width > 0 AND height > 0 THEN 43.266::DOUBLE * focal_mm / sqrt(width::DOUBLE * height) END, 6), 0.0) AS crop_factor FROM x",
+    "crop_factor": f"WITH {_SCORES} SELECT shot_id, coalesce(round(CASE WHEN focal_mm > 0 AND width > 0 AND height > 0 THEN 43.266::DOUBLE * focal_mm / sqrt(width::DOUBLE * height) END, 10), 0.0) AS crop_factor FROM x",
     "exposure_rational": f"WITH {_SCORES} SELECT shot_id, round(e::FLOAT::DOUBLE, 7) AS exposure_s FROM x",
     "score_components": f"WITH {_SCORES} SELECT shot_id, " + ", ".join(f"round({n}, 4) AS {n}" for n in ("sharpness", "exposure", "crop", "composition", "iso_balance")) + " FROM x",
     "score_total": f"WITH {_SCORES} SELECT shot_id, total, n AS n_components FROM x",

@@ -176,7 +176,7 @@ def oriented_aspect(spark, sf_dir):
 
 
 def crop_factor(spark, sf_dir):
-    return shots(spark, sf_dir).select("shot_id", F.round(photo.crop_factor(c("width"), c("height"), c("focal_mm")), 6).alias("crop_factor"))
+    return shots(spark, sf_dir).select("shot_id", F.round(photo.crop_factor(c("width"), c("height"), c("focal_mm")), 10).alias("crop_factor"))
 
 
 def exposure_rational(spark, sf_dir):
