@@ -42,7 +42,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_labe
     return [(text, label) for _, text, label in rows]
 
 
-def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 12, rate: float = 20.0, batch: int = 32, seed: int = 11) -> tuple[np.ndarray, float]:
+def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 6, rate: float = 20.0, batch: int = 32, seed: int = 11) -> tuple[np.ndarray, float]:
     """The projected score of each bucket (for label 1 over label 0), and the bias. Classes weigh the same."""
     labels = np.array([int(y) for _, y in sample])
     if len(set(labels.tolist())) < 2:
@@ -73,7 +73,8 @@ def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 12, rate
             back = p @ out.T
             out -= 0.1 * lr * hidden.T @ p
             bias -= 0.01 * lr * p.sum(axis=0)
-            np.add.at(vectors, ids, -lr * share[:, None] * np.repeat(back, np.diff([*starts, len(ids)]), axis=0))
+            for i, step_back in zip(own, back, strict=True):  # a document's buckets are distinct
+                vectors[docs[i][0]] -= lr * docs[i][1][:, None] * step_back
     side = out[:, 1] - out[:, 0]
     return (vectors @ side)[:, None].astype(np.float32), float(bias[1] - bias[0])
 

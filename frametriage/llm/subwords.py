@@ -6,6 +6,7 @@ them is a sum over words, so a word's sums are computed once and remembered; a t
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections import Counter
 
@@ -15,16 +16,28 @@ from .common import MEMO_ENTRIES
 
 BITS = 17
 SHORTEST, LONGEST = 2, 5
-
-
-def buckets(word: str) -> list[int]:
-    """Of the word and of its n-grams, by their UTF-8 bytes."""
-    b, mask, crc = f"<{word}>".encode(), (1 << BITS) - 1, zlib.crc32
-    out = [crc(b, 1) & mask]
-    n = len(b)
-    for size in range(SHORTEST, LONGEST + 1):
-        out += [crc(b[i : i + size]) & mask for i in range(n - size + 1)]
-    return out
+#: Odd multipliers of 64 bits.
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words and their n-grams, and the number of each one's word.
+
+    N-grams are hashed together: each longer one from the shorter one at the same place, by multiply and add modulo 2^64.
+    """
+    marked = [f"<{w}>".encode() for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    word, end = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    at, h = np.arange(len(data)), data
+    hashes, rows = [np.fromiter(map(zlib.crc32, marked), np.uint64, len(marked))], [np.arange(len(words))]
+    for size in range(2, LONGEST + 1):
+        h = h[:-1] * FACTOR + data[size - 1 :]
+        if size >= SHORTEST:
+            whole = at[: len(h)] + size <= end[: len(h)]
+            hashes.append(h[whole] * FACTOR + np.uint64(size))
+            rows.append(word[: len(h)][whole])
+    return (np.concatenate(hashes) * MIX >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
 
 
 #: Stands for a word that follows itself: a hashed word pair that has only its pattern.
@@ -34,19 +47,19 @@ AGAIN = "\x01again"
 def words_of(text: str, pairs: bool = False) -> list[str]:
     words = text.split()
     if pairs:
-        words += [AGAIN] * sum(a == b for a, b in zip(words, words[1:], strict=False))
+        words += [AGAIN] * sum(map(operator.eq, words, words[1:]))
     return words
 
 
 def document(text: str, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their shares of the text's features."""
-    counts: dict[int, int] = {}
-    for word, n in Counter(words_of(text, pairs)).items():
-        for b in buckets(word):
-            counts[b] = counts.get(b, 0) + n
-    ids = np.fromiter(counts, np.int64, len(counts))
-    n = np.fromiter(counts.values(), np.float64, len(counts))
-    return ids, (n / max(n.sum(), 1)).astype(np.float32)
+    counts = Counter(words_of(text, pairs))
+    if not counts:
+        return np.zeros(0, np.int64), np.zeros(0, np.float32)
+    ids, rows = grams(list(counts))
+    ids, at = np.unique(ids, return_inverse=True)
+    n = np.bincount(at, weights=np.fromiter(counts.values(), np.float64, len(counts))[rows])
+    return ids, (n / n.sum()).astype(np.float32)
 
 
 class WordSums:
@@ -58,30 +71,31 @@ class WordSums:
         self.memo = memo
         self.known: dict[str, int] = {}
 
-    def word(self, word: str) -> np.ndarray:
-        own = buckets(word)
-        return np.append(self.table[own].sum(axis=0, dtype=np.float64), len(own))
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of sums for each word."""
+        ids, rows = grams(words)
+        columns = [np.bincount(rows, weights=c, minlength=len(words)) for c in self.table[ids].T]
+        return np.stack([*columns, np.bincount(rows, minlength=len(words))], axis=1)
 
     def text(self, text: str, pairs: bool = False) -> np.ndarray:
         """Of the features' scores their mean, last their number."""
-        known, extra = self.known, np.zeros(self.rows.shape[1])
         words = words_of(text, pairs)
-        at = list(map(known.get, words))
+        total = np.zeros(self.rows.shape[1])
+        at = list(map(self.known.get, words))
         if None in at:
-            for i, (k, word) in enumerate(zip(at, words, strict=True)):
-                if k is None:
-                    k = known.get(word)
-                    if k is None:
-                        own = self.word(word)
-                        if len(known) < self.memo and len(word) < 64:
-                            k = known[word] = len(known)
-                            if k == len(self.rows):
-                                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                            self.rows[k] = own
-                        else:
-                            extra += own
-                    at[i] = k
+            fresh = Counter(w for k, w in zip(at, words, strict=True) if k is None)
+            sums = self.words(list(fresh))
+            total += np.fromiter(fresh.values(), np.float64, len(fresh)) @ sums
+            self.remember(list(fresh), sums)
             at = [k for k in at if k is not None]
-        total = extra + self.rows[at].sum(axis=0) if at else extra
+        total += self.rows[at].sum(axis=0) if at else 0
         total[:-1] /= max(total[-1], 1)
         return total
+
+    def remember(self, words: list[str], sums: np.ndarray) -> None:
+        kept = [i for i, w in enumerate(words) if len(w) < 64][: max(self.memo - len(self.known), 0)]
+        n = len(self.known)
+        while len(self.rows) < n + len(kept):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[n : n + len(kept)] = sums[kept]
+        self.known.update((words[i], n + k) for k, i in enumerate(kept))
