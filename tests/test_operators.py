@@ -127,6 +127,11 @@ def test_golden_scores(spark):
     assert score_of(spark, None, None, None, None, None).total == 0.0
 
 
+def test_component_by_name(spark):
+    df = spark.range(1).select(F.struct(F.array(F.struct(F.lit("iso_dengesi").alias("name"), F.lit(1.5).alias("score"))).alias("components")).alias("s"))
+    assert tuple(df.select(score.component(F.col("s"), "iso_dengesi")["score"], score.component(F.col("s"), "none")).first()) == (1.5, None)
+
+
 def test_strongest(spark):
     lit = lambda v: F.lit(v).cast("double")
     own = dict(zip(score.NAMES, map(lit, [1, 5, None, 5, 2]), strict=True))

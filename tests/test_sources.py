@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from frametriage import cli
 from frametriage.functions import phash
+from frametriage.operators import report
 from frametriage.plans import triage
 from frametriage.sources import frames, jpeg, listing, samples
 from frametriage.sources.samples import Sample, gray_jpeg, pattern
@@ -126,6 +127,8 @@ def test_scan_report_export(spark, tmp_path):
     assert triage.group(found, 8).select("group_id").distinct().count() == 3
     path = tmp_path / "r.json"
     path.write_text(json.dumps(text))
+    members = report.members_of_report(spark, str(path)).collect()
+    assert sorted(m.path for m in members) == sorted(r.path for r in found.frames.collect()) and all(m.hash >= 0 and m.total > 0 for m in members)
     assert cli.main(["export", str(path), str(out)]) == 0 and len(list(out.iterdir())) == 3
     assert cli.main(["export", str(path), str(root)]) == 1
     flat = triage.scan(spark, str(root), hashing=False).statistics().first()
@@ -136,8 +139,6 @@ def test_report_flags_conflicts_after_a_frame_without_hash(spark):
     score = "named_struct('components', array(named_struct('name', 'x', 'score', 1D, 'weight', 1D, 'rationale', '')), 'total', {}D, 'n_components', 1)"
     rows = [("a", "NULL", 1), ("b", "0", 2), ("c", "3", 3), ("d", "255", 3)]
     df = spark.sql(" UNION ALL ".join(f"SELECT '{p}' AS path, '{p}' AS file_name, CAST({h} AS BIGINT) AS hash, {score.format(s)} AS score" for p, h, s in rows))
-    from frametriage.operators import report
-
     got = {r.group_id: (r.recommended, r.conflicted, r.diameter, r.n_members) for r in report.report_groups(df, 6).collect()}
     assert got == {0: ("c", True, 8, 3), 1: ("a", False, 0, 1)}
 
