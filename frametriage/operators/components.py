@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import join_back
+
 
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's spark.checkpoint.dir; set a folder only where none is set."""
@@ -34,9 +36,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     while seen[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = join_back(both, least, ["u"]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = join_back(large, least, ["a"])
         pairs = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         now = joined.select(F.explode(pairs).alias("e")).select("e.a", "e.b").where("a != b").distinct().checkpoint()
         if (new := _digest(now)) == seen:
