@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
+from ..operators.skew import join_back
 from .common import cut, texts_of
 
 SEED = 42
@@ -178,7 +179,7 @@ def fingerprint_links(fps: DataFrame, most: int = 3, bucket: int = BUCKET) -> Da
     """a, b: links (within `most` <= 3 bits) between distinct fingerprints, enough to join up every group of them."""
     keyed = fps.select("fp").mapInArrow(_keys, "key long, fp long")
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(keyed.join(counts.hint("merge"), "key").select("key", "fp", "n"))
+    shared = cut(join_back(keyed, counts, ["key"]).select("key", "fp", "n"))
     cold = shared.where(F.col("n") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key")
     links = cold.mapInArrow(functools.partial(_links, most), "a long, b long")
     hot = shared.where(F.col("n") > bucket).select("fp").distinct()
@@ -202,7 +203,7 @@ def fingerprint_classes(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     roots = connected_components(fingerprint_links(classes, bucket=bucket)).select(F.col("node").alias("fp"), "root")
     classes = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return classes.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id")
+    return join_back(classes.select("fp", "root"), smallest, ["root"]).select("fp", "root", "component_id")
 
 
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, bucket: int = BUCKET) -> DataFrame:
