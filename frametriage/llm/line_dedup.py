@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_back
+
 #: A word, between the six ASCII blanks.
 WORD = r"[^\\x20\\x09-\\x0D]+"
 KEYS = ["d", "null_d", "h"]
@@ -42,7 +44,7 @@ def repeated_lines(docs: DataFrame, **options) -> DataFrame:
     place = F.struct("null_d", "d", "h", F.col("at")[0].alias("line"))
     # Pre-aggregated before the shuffle; a frequent window's places are split by the skew join.
     firsts = windows.groupBy("fp", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    matches = windows.join(firsts.hint("merge"), ["fp", "window"]).where(place > F.col("first"))
+    matches = join_back(windows, firsts, ["fp", "window"]).where(place > F.col("first"))
     return matches.select(*KEYS, F.explode("at").alias("line")).groupBy(*KEYS).agg(F.collect_set("line").alias("removed"))
 
 
