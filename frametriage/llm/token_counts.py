@@ -148,7 +148,8 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
 
     Null texts count as empty: 0 bytes, 0 tokens. Rows are kept apart even if they repeat; ids may be null. Other
-    columns of docs are not read. `hot` bounds the table that is sent to all executors; it changes no result.
+    columns of docs are not read. `hot` bounds the table that is sent to all executors; it changes no result. Rows are
+    numbered in their tasks, so docs must give them in the same order again if a task is lost, as files do; cut() anything else.
     """
     spark = docs.sparkSession
     pieces = cut(pretoken_pieces(docs, path, text_col=text_col))
