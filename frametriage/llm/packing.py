@@ -23,15 +23,15 @@ from .common import MEMO_ENTRIES, cut, row_numbers, single_threaded, texts_of
 class ByteTokens:
     """Ids of the byte-level tokenizer file. Words are remembered; texts with unusual blanks go to the library whole."""
 
-    def __init__(self, path: str, memo: int = MEMO_ENTRIES):
+    def __init__(self, path: str, memo: int = 2 * MEMO_ENTRIES):
         single_threaded()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.memo = memo
-        self.after_blank: dict[str, bytes | None] = {}
-        self.at_start: dict[str, bytes | None] = {}
+        self.after_blank: dict[str, bytes] = {}
+        self.at_start: dict[str, bytes] = {}
         self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
@@ -43,26 +43,26 @@ class ByteTokens:
             return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        out, after, start, first_line = [], self.after_blank, self.at_start, True
-        for line in text.split("\n"):
+        out, after, start = [], self.after_blank, self.at_start
+        for k, line in enumerate(text.split("\n")):
             first, *rest = line.split(" ")
-            if not first_line:
-                out.append(self.newline)
-            first_line = False
-            ids = start[first] if first in start else self.look(start, first, "")
-            if ids is None:
-                return self.whole(text)
-            out.append(ids)
-            for word in rest:
-                ids = after[word] if word in after else self.look(after, word, " ")
-                if ids is None:
+            own = [self.newline] * (k > 0) + [start.get(first)] + list(map(after.get, rest))
+            if None in own:
+                at = k > 0
+                own[at] = own[at] or self.look(start, first, "")
+                for i, word in enumerate(rest, at + 1):
+                    if own[i] is None:
+                        own[i] = self.look(after, word, " ")
+                if None in own:
                     return self.whole(text)
-                out.append(ids)
+            out += own
         return b"".join(out)
 
-    def look(self, table: dict, word: str, before: str) -> bytes | None:
+    def look(self, table: dict[str, bytes], word: str, before: str) -> bytes | None:
         """None for an empty word or one with other blanks in it: blanks side by side may be one pre-token."""
-        ids = self.whole(before + word) if word.split() == [word] else None
+        if word.split() != [word]:
+            return None
+        ids = self.whole(before + word)
         if len(table) < self.memo and len(word) < 64:
             table[word] = ids
         return ids
