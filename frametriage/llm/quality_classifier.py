@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import cut, texts_of
 from .subwords import BITS, WordSums, document
 
 
@@ -28,6 +28,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_labe
     """Up to per_label texts of each label, those with the smallest hash of their id; whole texts, in a fixed order.
 
     labels: doc_id and label_col, a bounded number of different labels. The ids of the sample are few and go to the texts.
+    Ids without a row in docs take the places of others.
     """
     spark = docs.sparkSession
     chosen = []
@@ -42,8 +43,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_labe
     return [(text, label) for _, text, label in rows]
 
 
-def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 6, rate: float = 20.0, batch: int = 32, seed: int = 11) -> tuple[np.ndarray, float]:
-    """The projected score of each bucket (for label 1 over label 0), and the bias. Classes weigh the same."""
+def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 6, rate: float = 20.0, batch: int = 32, least_steps: int = 400, seed: int = 11) -> tuple[np.ndarray, float]:
+    """The projected score of each bucket (for label 1 over label 0), and the bias. Classes weigh the same.
+
+    A small sample is gone through more often than `epochs`, up to least_steps batches: with a few dozen steps the scores
+    hardly leave 0, and the bias alone decides.
+    """
     labels = np.array([int(y) for _, y in sample])
     if len(set(labels.tolist())) < 2:
         return np.zeros((1 << BITS, 1), np.float32), float(np.sign(labels.mean() - 0.5)) * 5 if len(labels) else 0.0
@@ -52,7 +57,9 @@ def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 6, rate:
     vectors = r.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     weight = len(labels) / (2 * np.bincount(labels, minlength=2))
-    steps, step = epochs * -(-len(docs) // batch), 0
+    batches = -(-len(docs) // batch)
+    epochs = max(epochs, -(-least_steps // batches))
+    steps, step = epochs * batches, 0
     for _ in range(epochs):
         order = r.permutation(len(docs))
         for at in range(0, len(order), batch):
@@ -111,12 +118,14 @@ def _filtered(model, column: str, batches: Iterator[pa.RecordBatch]) -> Iterator
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", folds: int = 3, held_out: int = 1, per_label: int = 2000):
     """The model, for all executors, from labelled rows whose crc32(doc_id as text) mod folds is not held_out.
 
-    At most per_label rows of each label are used. Rows without label, id or text teach nothing. With one label only,
-    or none, the score is a constant.
+    At most per_label rows of each label are used, of those that docs has a text for. Rows without label, id or text teach
+    nothing. With one label only, or none, the score is a constant.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias(label_col)).where(F.col(label_col).isin(0, 1))
     known = known.where(id_fold("doc_id", folds) != held_out)
-    sample = labelled_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known, label_col, per_label)
+    known = cut(known.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi"))
+    sample = labelled_sample(docs, known, label_col, per_label)
     return docs.sparkSession.sparkContext.broadcast(train(sample))
 
 

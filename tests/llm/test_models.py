@@ -173,6 +173,31 @@ def test_pipeline(spark):
     assert {x.doc_id for x in last} == {x.doc_id for x in docs.collect()}
 
 
+def test_pipeline_rejects_low_quality_that_passes_the_rules(spark, tmp_path):
+    import corpus_pipeline
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    known = {(x.quality, x.text) for x in docs.join(labels, "doc_id").select("quality", "text").collect()}
+    prose = min(t for q, t in known if q == 1 and 100 < len(t.split()) < 150).split()
+    marked = min(t for q, t in known if q == 0 and "%%%" in t and len(t.split()) > 100).replace("\n", " ").split()
+    planted = " ".join(prose) + "\n" + " ".join(marked[: len(prose) - 10])
+    rows = docs.where("doc_id < 300").unionByName(docs.limit(1).withColumn("doc_id", quality_rules.F.lit(10_000).cast("long")).withColumn("text", quality_rules.F.lit(planted)))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    ruled = spark.createDataFrame(corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect(), docs.schema)
+    before = {x.doc_id for x in ruled.collect()}
+    after = {x.doc_id for x in corpus_pipeline.quality_classifier(spark, ruled, str(tmp_path)).collect()}
+    good = {x.doc_id for x in labels.where("quality = 1").collect()} & before
+    assert 10_000 in before and 10_000 not in after and len(good & after) > 0.97 * len(good)
+
+
+def test_classifier_chooses_among_rows_that_are_there(spark):
+    docs = spark.createDataFrame([(i, None if i < 300 else "good words here" if i % 2 else "bad ### stuff") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
+    got = {(x.doc_id % 2, x.predicted) for x in quality_scores(docs, fit_quality(docs, labels, per_label=20)).where("doc_id >= 300").collect()}
+    assert got == {(0, 0), (1, 1)}
+
+
 def test_representatives_with_repeated_ids(spark):
     from frametriage.llm.simhash import keep_representatives
 
