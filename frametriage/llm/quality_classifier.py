@@ -43,7 +43,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_labe
     return [(text, label) for _, text, label in rows]
 
 
-def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 6, rate: float = 20.0, batch: int = 32, least_steps: int = 400, seed: int = 11) -> tuple[np.ndarray, float]:
+def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 12, rate: float = 20.0, batch: int = 32, least_steps: int = 400, seed: int = 11) -> tuple[np.ndarray, float]:
     """The projected score of each bucket (for label 1 over label 0), and the bias. Classes weigh the same.
 
     A small sample is gone through more often than `epochs`, up to least_steps batches: with a few dozen steps the scores

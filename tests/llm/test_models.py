@@ -11,7 +11,7 @@ import pytest
 
 from frametriage.llm import licenses, media, quality_rules
 from frametriage.llm.language_id import fit_languages, languages
-from frametriage.llm.quality_classifier import fit_quality, quality_scores
+from frametriage.llm.quality_classifier import fit_quality, quality_scores, train
 from frametriage.llm.subwords import WordSums, document
 
 SF = "/root/testdata/sf0.01"
@@ -80,6 +80,12 @@ def test_classifier_held_out(spark):
     assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.9
 
 
+def test_training_goes_through_a_large_sample_twelve_times():
+    sample = [(f"w{i % 7} x{i % 2} y{i % 11}", i % 2) for i in range(1280)]
+    (table, bias), (want, want_bias) = train(sample), train(sample, epochs=12, least_steps=0)
+    assert np.array_equal(table, want) and bias == want_bias
+
+
 def test_word_sums_are_document_means():
     table = np.random.default_rng(1).normal(size=(1 << 17, 2)).astype(np.float32)
     for memo in (0, 2, 1000):
