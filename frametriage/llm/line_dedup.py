@@ -1,9 +1,8 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by hashes of spans of lines, in DataFrame functions only.
 
 A document is the sequence of its lines that have a word. A window is a span of it that is long enough to count: `lines`
-lines, or fewer with at least `words` words. Each window selects its smallest line hash as its fingerprint (the
-choice depends on the window's content only, so equal windows select the same one), and windows are joined on the
-fingerprint and a hash of the whole window. The first place of a window, in the order of (doc_id, hash of the text, line), keeps it.
+lines, or fewer with at least `words` words. All windows are hashed, grouped and joined, on a hash of the whole window;
+winnowing selects nothing: a window's smallest line hash (fp) is in the key too, but follows from the window. The first place of a window, in the order of (doc_id, hash of the text, line), keeps it.
 Every other place is a match, and it is extended both ways by the matching windows that overlap it: a repeated run of any
 length is the union of its windows. A window that two shorter ones cover is left out, since it adds nothing to the union.
 """
