@@ -166,6 +166,11 @@ def media_table(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(_stored, "digest string, media binary")
 
 
+def media_store(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """digest, media: the media table with one row a digest, as resolve() wants it."""
+    return media_table(docs, text_col=text_col).groupBy("digest").agg(F.min("media").alias("media"))
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -212,28 +217,36 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pages, sizes = [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
             digest = hashlib.sha256(payload_of(text)).hexdigest()
-            pages.append(f'<html><body><h1>Document {doc_id}</h1><figure><img src="{SCHEME}{digest}"><figcaption>{html.escape(" ".join(re.findall(r"[^\s<>&]+", text[:200])[:5]))}</figcaption></figure></body></html>')
+            lines = [f"<p>{html.escape(x, quote=False)}</p>" for x in text.split("\n")]
+            half = len(lines) // 2
+            figure = f'<figure><img src="{SCHEME}{digest}"><figcaption>{html.escape(" ".join(re.findall(r"[^\s<>&]+", text[:200])[:5]))}</figcaption></figure>'
+            pages.append(f"<html><body><h1>Document {doc_id}</h1>{''.join(lines[:half])}{figure}{''.join(lines[half:])}</body></html>")
             sizes.append(len(text.encode()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], ["doc_id", "n_bytes", "html"])
 
 
 def document_pages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, html: a page for each row that shows the text's payload as an image, with its first words as caption."""
+    """doc_id, n_bytes, html: a page for each row. It has the text's lines as paragraphs, in the middle its payload as an image with its first words as caption."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_pages, "doc_id long, n_bytes long, html string")
 
 
-def document_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature for each row of docs.
-
-    Through pages: each is parsed into a sequence, its reference is joined to the media table by digest. Null texts count
-    as empty (64 zero bytes). Repeated rows and null ids are kept as they are; other columns are not read.
-    """
+def document_sequences(docs: DataFrame) -> DataFrame:
+    """page_id (doc_id), n_bytes, items: the document's page as an interleaved sequence, for each row of docs."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(map(parse_page, batch.column("html").to_pylist()), pa.list_(ITEM))], ["page_id", "n_bytes", "items"])
 
-    sequences = document_pages(docs).mapInArrow(parsed, f"page_id long, n_bytes long, items array<{ITEM_DDL}>")
-    found = resolve(sequences, describe_media(media_table(docs))).where("kind = 'image'")
-    return found.select(F.col("page_id").alias("doc_id"), "n_bytes", *(c.split()[0] for c in DESCRIBED.split(", ")))
+    return document_pages(docs).mapInArrow(parsed, f"page_id long, n_bytes long, items array<{ITEM_DDL}>")
+
+
+def document_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption for each row of docs.
+
+    Through pages: each is parsed into a sequence, its reference is joined to the media table by digest. position and
+    caption are those of the image in its page's sequence. Null texts count as empty (64 zero bytes). Repeated rows and
+    null ids are kept as they are; other columns are not read.
+    """
+    found = resolve(document_sequences(docs), describe_media(media_table(docs))).where("kind = 'image'")
+    return found.select(F.col("page_id").alias("doc_id"), "n_bytes", *(c.split()[0] for c in DESCRIBED.split(", ")), "position", "caption")

@@ -155,6 +155,26 @@ def test_sequences_resolve_and_reassemble(spark):
     assert got == {1: [(0, "a", None, None), (1, None, "one", 7), (2, "b", None, None), (3, None, None, None), (4, None, None, None)], 2: []}
 
 
+def test_document_pages_interleave_the_whole_text(spark):
+    texts = [*ODD, "one <b> & two\n\n&amp; three\nfour\x00 five", "one <b> & two\n\n&amp; three\nfour\x00 five", "a\nb\nc\nd\ne\nf"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    store = media.media_store(docs)
+    assert store.count() == len({media.payload_of(t) for t in texts})
+    found = media.reassemble(media.resolve(media.document_sequences(docs), store), "media").collect()
+    rows = {x.doc_id: x for x in media.document_media(docs).collect()}
+    assert len(found) == len(rows) == len(texts)
+    for x in found:
+        text = texts[x.page_id] or ""
+        lines = text.split("\n")
+        parts = [[" ".join(t.split()) for t in own if t.split()] for own in (lines[: len(lines) // 2], lines[len(lines) // 2 :])]
+        at = 1 + len(parts[0])
+        assert [i.position for i in x["items"]] == list(range(len(x["items"])))
+        assert [i.text for i in x["items"]] == [f"Document {x.page_id}", *parts[0], None, *parts[1]]
+        assert media.from_png(x["items"][at].media).tobytes() == media.payload_of(text)
+        assert (rows[x.page_id].position, rows[x.page_id].caption) == (at, x["items"][at].caption)
+    assert rows[len(texts) - 1].position == 4 and rows[len(texts) - 1].caption == "a b c d e"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from frametriage.llm.line_dedup import dedup_lines
