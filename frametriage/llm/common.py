@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-#: Entries that a worker's memo tables hold at most; what comes later is computed each time.
+from ..operators.components import use_checkpoint_dir
+
 MEMO_ENTRIES = 400_000
+#: What a worker's memo tables hold at most, by estimate; a full one is emptied and filled anew.
+MEMO_BYTES = 48_000_000
+#: Words of this length and more are not remembered.
+LONG_WORD = 64
+#: Rows of a batch whose texts are Python strings at the same time.
+ROWS_AT_ONCE = 256
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +26,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's spark.checkpoint.dir; set a folder only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Keep the cluster's spark.checkpoint.dir; a temporary folder only in local mode."""
+    use_checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,9 +44,23 @@ def row_numbers(start: int = 0) -> Iterator[int]:
         n += 1
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    """Nulls count as empty."""
-    return [t or "" for t in batch.column(column).to_pylist()]
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
+    """Nulls count as empty. Only a part of the batch is held as strings at a time."""
+    own = batch.column(column)
+    for at in range(0, len(own), ROWS_AT_ONCE):
+        for text in own.slice(at, ROWS_AT_ONCE).to_pylist():
+            yield text or ""
+
+
+_HELD: dict = {}
+
+
+def held(key: tuple, build: Callable):
+    """What build makes, kept by this worker between tasks until it needs another: one model and its memo tables at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
 
 
 def fold(doc_id: int | None, n: int) -> int:

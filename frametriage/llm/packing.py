@@ -9,7 +9,10 @@ within shards of a length and shifted by the sizes of the shards before, so no l
 from __future__ import annotations
 
 import functools
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,60 +20,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, cut, row_numbers, single_threaded, texts_of
+from .common import cut, held, row_numbers, single_threaded, texts_of
+
+
+#: Pre-tokens may be this long where the fast encoder is used, whose time grows with the square of their length.
+LONG_RUN = 4096
+#: The split pattern of the file's pre-tokenizer, and the same for texts without white space side by side.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPLIT_SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The bytes by the characters that stand for them in byte-level files: printable Latin-1 ones for themselves, the rest from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class ByteTokens:
-    """Ids of the byte-level tokenizer file. Words are remembered; texts with unusual blanks go to the library whole."""
+    """Ids of the byte-level tokenizer file, with nothing remembered between texts.
+
+    The file's vocabulary is given to a faster encoder, which merges by rank; that is the same if ids are ranks, as is
+    asserted. Texts with special strings or with very long pre-tokens go to the library itself.
+    """
 
-    def __init__(self, path: str, memo: int = 2 * MEMO_ENTRIES):
+    def __init__(self, path: str):
         single_threaded()
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.memo = memo
-        self.after_blank: dict[str, bytes] = {}
-        self.at_start: dict[str, bytes] = {}
-        self.newline = self.whole("\n")
+        file = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in file["added_tokens"]]
+        split, model = file["pre_tokenizer"], file["model"]
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        assert file["normalizer"] is None and plain.items() <= split.items() and model["type"] == "BPE" and not model.get("ignore_merges"), "another kind of file"
+        assert not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")), "another kind of file"
+        ids = {t: i for t, i in model["vocab"].items() if t not in self.special}
+        merged = [ids[a + b] for a, b in model["merges"]]
+        assert merged == sorted(set(merged)) and len(ids) == len(merged) + 256, "ids are not ranks"
+        byte = byte_alphabet()
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in ids.items()}
+        self.encode = tiktoken.Encoding("any", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encode_single = tiktoken.Encoding("single", pat_str=SPLIT_SINGLE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
-        if not text:
-            return b""
         if any(s in text for s in self.special):
             return self.whole(text)
-        out, after, start = [], self.after_blank, self.at_start
-        for k, line in enumerate(text.split("\n")):
-            first, *rest = line.split(" ")
-            own = [self.newline] * (k > 0) + [start.get(first)] + list(map(after.get, rest))
-            if None in own:
-                at = k > 0
-                own[at] = own[at] or self.look(start, first, "")
-                for i, word in enumerate(rest, at + 1):
-                    if own[i] is None:
-                        own[i] = self.look(after, word, " ")
-                if None in own:
-                    return self.whole(text)
-            out += own
-        return b"".join(out)
-
-    def look(self, table: dict[str, bytes], word: str, before: str) -> bytes | None:
-        """None for an empty word or one with other blanks in it: blanks side by side may be one pre-token."""
-        if word.split() != [word]:
-            return None
-        ids = self.whole(before + word)
-        if len(table) < self.memo and len(word) < 64:
-            table[word] = ids
-        return ids
-
-
-@functools.lru_cache(2)
+        blank = np.frombuffer(text.encode(), np.uint8) <= 32
+        if len(blank) > LONG_RUN:
+            ends = np.flatnonzero(blank[1:] != blank[:-1])
+            if np.diff(ends, prepend=-1, append=len(blank) - 1).max() > LONG_RUN:
+                return self.whole(text)
+        double = (blank[1:] & blank[:-1]).any() if text.isascii() else DOUBLE.search(text)
+        return array("I", (self.encode if double else self.encode_single)(text)).tobytes()
+
+
+DOUBLE = re.compile(r"\s\s")
+
+
 def byte_tokens(path: str) -> ByteTokens:
-    return ByteTokens(path)
+    return held(("byte tokens", path), lambda: ByteTokens(path))
 
 
 def cuts(n: int, size: int) -> list[tuple[int, int]]:
