@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.components import use_checkpoint_dir
 
-MEMO_ENTRIES = 400_000
 #: What a worker's memo tables hold at most, by estimate; a full one is emptied and filled anew.
 MEMO_BYTES = 48_000_000
 #: Words of this length and more are not remembered.

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held, texts_of
 from .quality_classifier import id_fold, labelled_sample
 from .subwords import BITS, WordSums, document
 
@@ -103,20 +104,14 @@ def decide(model: dict, margins: np.ndarray) -> tuple[str, float]:
     return lang, score * least
 
 
-_SUMS: dict[int, WordSums] = {}
-
-
 def _predicted(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     model = model.value
     table = model["table"]
-    if id(table) not in _SUMS:
-        _SUMS.clear()
-        _SUMS[id(table)] = WordSums(table)
-    sums = _SUMS[id(table)]
+    sums = held(("languages", id(table)), lambda: (table, WordSums(table)))[1]
     for batch in batches:
         out = []
-        for text in batch.column("text").to_pylist():
-            if text is None or not model["langs"] or not any(map(str.isalpha, text)):
+        for text in texts_of(batch):
+            if not model["langs"] or not any(map(str.isalpha, text)):
                 out.append((UNKNOWN, 0.0))
             else:
                 out.append(decide(model, sums.text(text.lower())[:-1]))
@@ -126,14 +121,19 @@ def _predicted(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def fit_languages(docs: DataFrame, *, folds: int = 4, held_out: int = 2, per_lang: int = 600):
     """The model, for all executors, from rows with a language whose crc32(doc_id as text) mod folds is not held_out.
 
-    At most per_lang rows of each language are used. Without any, every text is `und`.
+    At most per_lang rows of each language are used, and SAMPLE_BYTES of text in all. Rows without text, id or language
+    teach nothing. With one language all texts with a letter are of it; without any, every text is `und`.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    known = docs.where(id_fold("doc_id", folds) != held_out).select("doc_id", "lang")
+    known = docs.where((id_fold("doc_id", folds) != held_out) & F.col("text").isNotNull()).select("doc_id", "lang", F.octet_length("text").alias("n_bytes"))
     return docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs.select("doc_id", "text"), known, "lang", per_lang)))
 
 
 def languages(docs: DataFrame, model, *, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row; `und` and 0 for a null text or one without letters. Reads no other column."""
+    """doc_id, held_out, lang_pred, score for each row; `und` and 0 for a null text or one without letters. Reads no other column.
+
+    Of equally good languages the one with most votes in its family wins, then the greater sum of margins, then the first
+    by name. Rows are judged one by one: repeated ones alike, null ids are kept, an empty table gives an empty one.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(functools.partial(_predicted, model), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, texts_of
+from .common import LONG_WORD, MEMO_BYTES, held, texts_of
 
 #: The library's stand-in for a blank.
 BLANK = "▁"
@@ -29,7 +29,7 @@ BLANK = "▁"
 class PieceCodec:
     """Encodes as the model file says: blank before the text, no other normalization, bytes for unknown characters."""
 
-    def __init__(self, path: str, memo: int = MEMO_ENTRIES):
+    def __init__(self, path: str, memo: int = MEMO_BYTES):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -43,12 +43,14 @@ class PieceCodec:
             self.matcher.add_word(self.names[i], i)
         self.matcher.make_automaton()
         self.length = {i: len(p) for i, p in self.names.items()}
+        #: So every position within a piece has a match, no piece reaches over one without, and some sequence always fits.
+        assert all(c in self.score for p in self.score for c in p), "characters that are no pieces"
         #: No merge goes over a blank that follows another character, or over a character of no piece.
         assert not any(BLANK in p.lstrip(BLANK) for p in self.names.values()), "pieces with inner blanks"
         self.lines = not any("\n" in p for p in self.names.values())
         self.chunks = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
         self.fits: dict[tuple[int, int], bool] = {}
-        self.memo = memo
+        self.memo, self.used = memo, 0
         self.after_blank: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
         self.newline = self.packed(self.unknown("\n"))
@@ -80,8 +82,9 @@ class PieceCodec:
         if known is None:
             parts = [self.names[right]] if left < 0 else [self.names[left], self.names[right]]
             known = self.merged("".join(parts)) == parts
-            if len(self.fits) < 4 * self.memo:
-                self.fits[left, right] = known
+            if 200 * len(self.fits) >= self.memo:
+                self.fits.clear()
+            self.fits[left, right] = known
         return known
 
     def chunk(self, text: str) -> list[int]:
@@ -153,7 +156,12 @@ class PieceCodec:
 
     def remember(self, table: dict[str, bytes], part: str, before: str) -> bytes:
         ids = self.packed(self.chunk(before + part))
-        if len(table) < self.memo and len(part) < 64:
+        if len(part) < LONG_WORD:
+            self.used += 250 + len(part) + len(ids)
+            if self.used > self.memo:
+                self.after_blank.clear()
+                self.at_start.clear()
+                self.used = 0
             table[part] = ids
         return ids
 
@@ -161,9 +169,8 @@ class PieceCodec:
         return self.library.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-@functools.lru_cache(2)
 def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+    return held(("pieces", path), lambda: PieceCodec(path))
 
 
 def _digests(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,39 +8,57 @@ projected on the output weights first and each word's projection is remembered.
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, texts_of
+from .common import cut, held, texts_of
 from .subwords import BITS, WordSums, document
 
+#: Bytes of sample text that the driver takes at most.
+SAMPLE_BYTES = 48_000_000
+
 
 def id_fold(id_col, n: int):
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(n))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_label: int) -> list[tuple[str, object]]:
-    """Up to per_label texts of each label, those with the smallest hash of their id; whole texts, in a fixed order.
+def labelled_sample(docs: DataFrame, known: DataFrame, label_col: str, per_label: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, object]]:
+    """Up to per_label texts of each label, those with the smallest hash of their id, in a fixed order; whole texts.
 
-    labels: doc_id and label_col, a bounded number of different labels. The ids of the sample are few and go to the texts.
-    Ids without a row in docs take the places of others.
+    docs: doc_id, text. known: doc_id, label_col, n_bytes of the text; a bounded number of different labels. One pass
+    counts the labels and one takes somewhat more ids than are wanted, by a bound on the hash; the driver sees no more.
+    Of each label's texts those are left out with which its share of most_bytes would be passed.
     """
     spark = docs.sparkSession
-    chosen = []
-    known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", label_col)
-    for label in sorted(r[0] for r in known.select(label_col).distinct().collect()):
-        chosen += known.where(F.col(label_col) == label).select("doc_id", label_col).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()
+    known = known.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
+    counts = {r[0]: r.n for r in known.groupBy(label_col).agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return []
+    order = F.shiftrightunsigned(F.xxhash64("doc_id"), 24)
+    bound = F.coalesce(*(F.when(F.col(label_col) == label, int(min(1, (1.2 * per_label + 100) / n) * 2**40)) for label, n in counts.items()))
+    found = known.where(order <= bound).groupBy("doc_id", label_col).agg(F.max("n_bytes").alias("n_bytes")).withColumn("order", order)
+    chosen, taken, size = [], Counter(), Counter()
+    for r in sorted(found.collect(), key=lambda r: (r["order"], r["doc_id"])):
+        label, n = r[label_col], r["n_bytes"]
+        if taken[label] < per_label and size[label] + n <= most_bytes // len(counts):
+            taken[label] += 1
+            size[label] += n
+            chosen.append((r["doc_id"], label))
     if not chosen:
         return []
-    ids = F.broadcast(spark.createDataFrame(chosen, known.schema))
-    rows = docs.select(F.col("doc_id"), F.col("text")).join(ids, "doc_id").where("text is not null").collect()
-    rows = sorted({(r["doc_id"], r["text"], r[label_col]) for r in rows})
-    return [(text, label) for _, text, label in rows]
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), known.schema[label_col]])
+    ids = F.broadcast(spark.createDataFrame(chosen, schema))
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").where("text is not null")
+    # A repeated id has one text: the longest, of equally long ones the last.
+    rows = rows.groupBy("doc_id", label_col).agg(F.max(F.struct(F.octet_length("text").alias("n"), "text")).alias("most")).collect()
+    return [(r["most"]["text"], r[label_col]) for r in sorted(rows, key=lambda r: (r["doc_id"], str(r[label_col])))]
 
 
 def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 12, rate: float = 20.0, batch: int = 32, least_steps: int = 400, seed: int = 11) -> tuple[np.ndarray, float]:
@@ -52,7 +70,7 @@ def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 12, rate
     labels = np.array([int(y) for _, y in sample])
     if len(set(labels.tolist())) < 2:
         return np.zeros((1 << BITS, 1), np.float32), float(np.sign(labels.mean() - 0.5)) * 5 if len(labels) else 0.0
-    docs = [document(t, pairs=True) for t, _ in sample]
+    docs = [document(t, patterns=True) for t, _ in sample]
     r = np.random.default_rng(seed)
     vectors = r.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -86,20 +104,13 @@ def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 12, rate
     return (vectors @ side)[:, None].astype(np.float32), float(bias[1] - bias[0])
 
 
-_SCORERS: dict[int, WordSums] = {}
-
-
 def _scorer(model) -> tuple[WordSums, float]:
-    """One for each worker and model."""
     table, bias = model.value
-    if id(table) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(table)] = WordSums(table)
-    return _SCORERS[id(table)], bias
+    return held(("quality", id(table)), lambda: (table, WordSums(table)))[1], bias
 
 
 def _probability(sums: WordSums, bias: float, text: str) -> float:
-    return float(1 / (1 + np.exp(-np.clip(sums.text(text, pairs=True)[0] + bias, -500, 500))))
+    return float(1 / (1 + np.exp(-np.clip(sums.text(text, patterns=True)[0] + bias, -500, 500))))
 
 
 def _scored(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,23 +129,33 @@ def _filtered(model, column: str, batches: Iterator[pa.RecordBatch]) -> Iterator
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", folds: int = 3, held_out: int = 1, per_label: int = 2000):
     """The model, for all executors, from labelled rows whose crc32(doc_id as text) mod folds is not held_out.
 
-    At most per_label rows of each label are used, of those that docs has a text for. Rows without label, id or text teach
-    nothing. With one label only, or none, the score is a constant.
+    At most per_label rows of each label are used, of those that docs has a text for, and SAMPLE_BYTES of text in all.
+    Rows without label, id or text teach nothing; an id with both labels teaches both. With one label only the score is a
+    constant that predicts it; without any it is 0.5, which predicts 1.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sizes = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("n_bytes"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias(label_col)).where(F.col(label_col).isin(0, 1))
     known = known.where(id_fold("doc_id", folds) != held_out)
-    known = cut(known.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi"))
+    known = cut(known.join(sizes, "doc_id"))
     sample = labelled_sample(docs, known, label_col, per_label)
     return docs.sparkSession.sparkContext.broadcast(train(sample))
 
 
 def quality_scores(docs: DataFrame, model, *, folds: int = 3, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score (of label 1), predicted for each row of docs; null texts count as empty. Reads no other column."""
+    """doc_id, held_out, score (of label 1), predicted for each row of docs. Reads no other column.
+
+    Null texts and texts without words have the score of the bias alone. Rows are scored one by one, so equal texts have
+    equal scores, repeated rows stay, null ids are kept, and an empty table gives an empty one.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (id_fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(functools.partial(_scored, model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_by_quality(docs: DataFrame, model, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are predicted as label 1, with all their columns."""
+    """The rows of docs that are predicted as label 1, with all their columns, whatever their names.
+
+    Null and empty texts have the score of the bias alone and are kept if it is 0.5 or more. Repeated rows fare alike; an
+    empty table stays empty. A model that saw one label only keeps all rows, or none if that label is 0.
+    """
     return docs.mapInArrow(functools.partial(_filtered, model, text_col), docs.schema)

@@ -6,16 +6,16 @@ them is a sum over words, so a word's sums are computed once and remembered; a t
 
 from __future__ import annotations
 
-import operator
 import zlib
 from collections import Counter
 
 import numpy as np
 
-from .common import MEMO_ENTRIES
+from .common import LONG_WORD, MEMO_BYTES
 
 BITS = 17
 SHORTEST, LONGEST = 2, 5
+GRID = 2.0**24
 #: Odd multipliers of 64 bits.
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -40,20 +40,27 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes) * MIX >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
 
 
-#: Stands for a word that follows itself: a hashed word pair that has only its pattern.
-AGAIN = "\x01again"
+#: Begins what stands for a word n-gram of which only the pattern counts: a word, and the same one that far behind it.
+PATTERN = "\x01"
 
 
-def words_of(text: str, pairs: bool = False) -> list[str]:
+def words_of(text: str, patterns: bool = False) -> list[str]:
+    """The words; with patterns, for each that stood before also how far back, in powers of two."""
     words = text.split()
-    if pairs:
-        words += [AGAIN] * sum(map(operator.eq, words, words[1:]))
+    if patterns:
+        last: dict[str, int] = {}
+        found = []
+        for i, w in enumerate(words):
+            if w in last:
+                found.append((i - last[w]).bit_length())
+            last[w] = i
+        words += [f"{PATTERN}{k}" for k in found]
     return words
 
 
-def document(text: str, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def document(text: str, patterns: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets and their shares of the text's features."""
-    counts = Counter(words_of(text, pairs))
+    counts = Counter(words_of(text, patterns))
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
     ids, rows = grams(list(counts))
@@ -65,10 +72,12 @@ def document(text: str, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
 class WordSums:
     """Sums of the rows of a table (bucket by score) over a text's features, and the number of features."""
 
-    def __init__(self, table: np.ndarray, memo: int = MEMO_ENTRIES):
-        self.table = table
-        self.rows = np.zeros((1024, table.shape[1] + 1))
-        self.memo = memo
+    def __init__(self, table: np.ndarray, memo: int = MEMO_BYTES):
+        #: Multiples of a power of 2, so that sums are exact and do not depend on what is remembered.
+        self.table = np.round(table.astype(np.float64) * GRID) / GRID
+        width = table.shape[1] + 1
+        self.most = max(memo // (200 + 8 * width), 1024)
+        self.rows = np.zeros((self.most, width))
         self.known: dict[str, int] = {}
 
     def words(self, words: list[str]) -> np.ndarray:
@@ -77,25 +86,30 @@ class WordSums:
         columns = [np.bincount(rows, weights=c, minlength=len(words)) for c in self.table[ids].T]
         return np.stack([*columns, np.bincount(rows, minlength=len(words))], axis=1)
 
-    def text(self, text: str, pairs: bool = False) -> np.ndarray:
+    def text(self, text: str, patterns: bool = False) -> np.ndarray:
         """Of the features' scores their mean, last their number."""
-        words = words_of(text, pairs)
+        words = words_of(text, patterns)
         total = np.zeros(self.rows.shape[1])
         at = list(map(self.known.get, words))
         if None in at:
             fresh = Counter(w for k, w in zip(at, words, strict=True) if k is None)
-            sums = self.words(list(fresh))
-            total += np.fromiter(fresh.values(), np.float64, len(fresh)) @ sums
-            self.remember(list(fresh), sums)
+            counts, new = np.fromiter(fresh.values(), np.float64, len(fresh)), list(fresh)
             at = [k for k in at if k is not None]
-        total += self.rows[at].sum(axis=0) if at else 0
+            total += self.rows[at].sum(axis=0) if at else 0
+            for k in range(0, len(new), self.most):
+                sums = self.words(new[k : k + self.most])
+                total += counts[k : k + self.most] @ sums
+                self.remember(new[k : k + self.most], sums)
+        else:
+            total += self.rows[at].sum(axis=0) if at else 0
         total[:-1] /= max(total[-1], 1)
         return total
 
     def remember(self, words: list[str], sums: np.ndarray) -> None:
-        kept = [i for i, w in enumerate(words) if len(w) < 64][: max(self.memo - len(self.known), 0)]
+        """When there is no more room, all that is known goes first."""
+        kept = [i for i, w in enumerate(words) if len(w) < LONG_WORD]
+        if len(self.known) + len(kept) > self.most:
+            self.known.clear()
         n = len(self.known)
-        while len(self.rows) < n + len(kept):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         self.rows[n : n + len(kept)] = sums[kept]
         self.known.update((words[i], n + k) for k, i in enumerate(kept))

@@ -9,6 +9,7 @@ So no key of the shuffled join is frequent, and most of the frequencies never le
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,8 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, cut, row_numbers, single_threaded, texts_of
+from .common import LONG_WORD, MEMO_BYTES, cut, held, row_numbers, single_threaded, texts_of
 
+#: Entries of counters that are kept before they are handed on.
+ENTRIES = 400_000
+#: What the tokenizer file says on normalization and splitting.
+FILE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+}
 #: Marks a special token's string among the pre-tokens.
 SPECIAL = "\x00"
 
@@ -31,6 +39,9 @@ class PreTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        file = json.loads(self.tokenizer.to_str())
+        assert FILE == {"normalizer": file["normalizer"], "split": file["pre_tokenizer"]["pretokenizers"][0]["pattern"]}, "another way of splitting"
+        assert all(t["content"].startswith("<|") and not t["normalized"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in file["added_tokens"]), "another kind of special token"
         self.model = self.tokenizer.model
         names = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
@@ -57,9 +68,8 @@ class PreTokenizer:
         return 1 if pretoken.startswith(SPECIAL) else len(self.model.tokenize(pretoken))
 
 
-@functools.lru_cache(2)
 def pretokenizer(path: str) -> PreTokenizer:
-    return PreTokenizer(path)
+    return held(("pre-tokens", path), lambda: PreTokenizer(path))
 
 
 def units(text: str) -> list[str]:
@@ -76,9 +86,9 @@ def _vocabulary(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     for batch in batches:
         for text in texts_of(batch):
             seen.update(units(text))
-            if len(seen) > MEMO_ENTRIES:
+            if len(seen) > ENTRIES:
                 _count(seen, split, counts)
-                if len(counts) > MEMO_ENTRIES:
+                if len(counts) > ENTRIES:
                     yield rows()
                     counts.clear()
     _count(seen, split, counts)
@@ -107,7 +117,9 @@ def _frequencies(path: str, hot, batches: Iterator[pa.RecordBatch]) -> Iterator[
         rest = [p for p in own if p not in hot]
         known_pieces = sum(hot[p] for p in own if p in hot)
         v = (known_pieces, rest) if rest else known_pieces
-        if len(known) < MEMO_ENTRIES:
+        if len(unit) < LONG_WORD:
+            if 250 * len(known) >= 2 * MEMO_BYTES:
+                known.clear()
             known[unit] = v
         return v
 
