@@ -2,7 +2,8 @@
 
 The CRF has two labels, weights for binary line features and for label pairs. It is trained here, by gradient ascent on
 the likelihood, on generated pages (`training_pages`): prose in invented words with boilerplate of the usual kinds
-between. So the weights are the same for every input and the operator is one pass over the rows.
+between. The features look at marks, capitals, lengths and repetition, not at words, so that a page in another alphabet
+or with other separators is judged alike. The weights are the same for every input and the operator is one pass over the rows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,79 +24,106 @@ from .common import texts_of
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 CONTENT, BOILERPLATE = 0, 1
-FEATURES = ["any", "1-2 words", "3-8 words", "9-24 words", "25 words or more", "ends a sentence", "some symbols", "many symbols", "mostly capitals", "one word again and again", "few different words", "line seen before", "marks after most words", "address or date", "copyright or menu word"]
-MENU = re.compile(r"©|\bcopyright\b|\ball rights reserved\b|\b(?:cookies?|privacy policy|terms of (?:use|service)|subscribe|sign (?:in|up)|log ?in|newsletter|home|contact us|read more|click here|share this|next page)\b", re.I)
+FEATURES = ["any", "1-2 words", "3-8 words", "9-24 words", "25 words or more", "ends a sentence", "some bare marks", "many bare marks", "some words oddly marked", "many words oddly marked", "mostly capitals", "one word again and again", "few different words", "line seen before", "address or date", "mostly numbers"]
+#: Marks before a blank or the end, with the blank before them if they are a word of their own.
+FINAL = re.compile(r"\s?[^\w\s]+(?!\S)").findall
+#: Marks that end words of sentences.
+USUAL = set(".,;:!?'\")]}»«”’…。、")
 ADDRESS = re.compile(r"https?://|www\.|@\w+\.\w|\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\+?\d[\d ()-]{7,}\d")
 
 
 def line_features(line: str, words: list[str], seen: bool) -> list[int]:
-    """Indices of the features that the line has; words: its words, at least one."""
+    """Indices of the features that the line has; words: its words, at least one. No feature knows a language."""
     n = len(words)
     out = [0, 1 if n < 3 else 2 if n < 9 else 3 if n < 25 else 4]
     if words[-1][-1] in ".!?…。":
         out.append(5)
-    marks = sum(map(line.count, SYMBOLS))
-    if marks:
-        out.append(7 if 5 * marks >= n else 6)
+    bare = marked = 0
+    for end, k in Counter(FINAL(f" {line}")).items():
+        if end[0].isspace():
+            bare += k
+        elif not USUAL.issuperset(end) or end != "..." and len(end) > 1 and len(set(end)) == 1:
+            marked += k
+    if bare:
+        out.append(7 if 5 * bare >= n else 6)
+    if marked:
+        out.append(9 if 4 * marked >= n else 8)
     if n > 2 and 2 * sum(map(str.isupper, words)) > n and sum(map(len, words)) > 3 * n:
-        out.append(8)
+        out.append(10)
     different = len(set(words))
     if n >= 8 and 10 * different <= n:
-        out.append(9)
-    elif n >= 8 and 3 * different <= n:
-        out.append(10)
-    if seen:
         out.append(11)
-    if n > 4 and 2 * (line.count("!! ") + line.count("?? ")) > n:
+    elif n >= 8 and 3 * different <= n:
         out.append(12)
+    if seen:
+        out.append(13)
     if n < 25:
         if ADDRESS.search(line):
-            out.append(13)
-        if MENU.search(line):
             out.append(14)
+        if 2 * sum(w[0].isdigit() for w in words) > n:
+            out.append(15)
     return out
 
 
-def training_pages(pages: int = 400, seed: int = 7) -> list[list[tuple[str, int]]]:
-    """Lines with their labels."""
+#: Syllables of the training pages' words, and marks of their boilerplate.
+SYLLABLES = ["an", "be", "den", "er", "ga", "in", "ka", "lo", "mi", "no", "on", "pre", "ra", "sta", "té", "ti", "ung", "va", "zo"]
+MARKS = ["|", "•", "/", ">", "»", "-", "*", "~", "+", "#", "=", "^", "&", "→", ";", "_", "%"]
+
+
+def training_pages(pages: int = 400, seed: int = 7, syllables: list[str] = SYLLABLES, marks: list[str] = MARKS) -> list[list[tuple[str, int]]]:
+    """Lines with their labels: prose, with headings; and runs of menus, separated lists, decorated or repeated words, data."""
     r = random.Random(seed)
-    parts = ["an", "be", "den", "er", "ga", "in", "ka", "lo", "mi", "no", "on", "pre", "ra", "sta", "té", "ti", "ung", "va", "zo"]
-    lexicon = ["".join(r.choices(parts, k=r.choice([1, 1, 2, 2, 3, 4]))) for _ in range(900)]
+    lexicon = ["".join(r.choices(syllables, k=r.choice([1, 1, 2, 2, 3, 4]))) for _ in range(900)]
 
     def prose() -> str:
         out = []
         for _ in range(r.choice([1, 1, 2, 3, 5, 8])):
             own = r.choices(lexicon, k=r.choice([1, 2, 5, 9, 14, 22]))
-            out.append(" ".join(own).capitalize() + r.choice(["."] * 8 + ["!", "?"]))
+            own = [w + r.choice([""] * 12 + [",", ",", ";", ":"]) if r.random() < 0.99 else r.choice(["–", "&", f"({w})", f"»{w}«", str(r.randint(1, 2000))]) for w in own[:-1]] + own[-1:]
+            out.append(" ".join(own).capitalize() + r.choice(["."] * 8 + ["!", "?", ".\"", "…"]))
         line = " ".join(out)
         return line.rstrip(".") if r.random() < 0.1 else line
 
-    def junk(kind: int) -> str:
+    def some() -> list[str]:
+        """Words, often with marks of sentences between and at the end."""
         own = [w + r.choice(["", "", "", "", "", ".", ","]) for w in r.choices(lexicon, k=r.choice([2, 4, 8, 20, 60, 120]))]
-        if r.random() < 0.5:
-            own[-1] += "."
-        if kind == 0:
-            return " ".join(w + r.choice(SYMBOLS) * r.randint(1, 3) if r.random() < 0.8 else w for w in own)
-        if kind == 1:
-            return " | ".join(own)
-        if kind == 2:
-            return " ".join([own[0]] * r.randint(8, 80))
-        if kind == 3:
-            return " ".join(w.upper() + r.choice(["", "!!", "!"]) for w in own)
-        if kind == 4:
-            return r.choice(["Home > News", "Copyright 2020 All rights reserved", "Read more", "Sign in", "Subscribe to our newsletter", "Terms of use", "Share this", "Privacy policy and cookies", "Click here", "Contact us"])
-        if kind == 5:
-            return " ".join([r.choice(["http://a.example/x", "www.b.example", "01/02/2020", "mail@c.example"]), *own[:3]])
-        return " ".join(own[:2] * r.randint(4, 20))
+        return [*own[:-1], own[-1] + "."] if r.random() < 0.5 else own
+
+    def menu() -> str:
+        return " ".join(w.capitalize() for w in r.choices(lexicon, k=r.randint(1, 4)))
+
+    def separated() -> str:
+        mark = r.choice(marks)
+        return f" {mark * r.choice([1, 1, 1, 2, 3])} ".join(" ".join([*r.choices(lexicon, k=r.choice([0, 0, 0, 1, 2])), w]) for w in some())
+
+    def decorated() -> str:
+        own, few = some(), r.sample(marks, min(len(marks), r.randint(1, 5)))
+        return " ".join(w + r.choice(few) * r.randint(1, 3) if r.random() < 0.8 else w for w in own)
+
+    def shouted() -> str:
+        return " ".join(w.upper() + r.choice(["", "!!", "!", "??"]) for w in some())
+
+    def repeated() -> str:
+        own = r.choices(lexicon, k=r.choice([1, 1, 2, 3]))
+        return " ".join(own * r.randint(8, 40)) + r.choice(["", "."])
+
+    def data() -> str:
+        number = lambda: r.choice([f"{r.randint(1, 31)}/{r.randint(1, 12)}/{r.randint(1990, 2030)}", f"+{r.randint(10, 99)} {r.randint(1000000, 9999999)}", f"https://{r.choice(lexicon)}.example/{r.choice(lexicon)}", f"{r.choice(lexicon)}@{r.choice(lexicon)}.example", str(r.randint(1, 10**6))])
+        return " ".join([*r.choices(lexicon, k=r.randint(0, 2)), *(number() for _ in range(r.randint(1, 5)))])
 
+    kinds = [menu, separated, decorated, shouted, repeated, data]
     out = []
     for _ in range(pages):
-        page, label, kind, repeated = [], CONTENT if r.random() < 0.7 else BOILERPLATE, r.randrange(7), junk(4)
+        page, label, kind, again = [], CONTENT if r.random() < 0.7 else BOILERPLATE, r.choice(kinds), menu()
         for _ in range(r.randint(1, 14)):
             if r.random() < 0.15:
-                label, kind = 1 - label, r.randrange(7)
-            line = prose() if label == CONTENT else repeated if r.random() < 0.2 else junk(kind)
-            page.append((line, label))
+                label, kind = 1 - label, r.choice(kinds)
+            if label == CONTENT:
+                if r.random() < 0.1:
+                    page.append((menu(), label))  # a heading
+                page.append((prose(), label))
+            else:
+                page.append((again if r.random() < 0.15 else kind(), label))
         out.append(page)
     return out
 
@@ -222,7 +251,7 @@ COLUMNS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int6
 def _judged(model, share: float, least_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first column is kept as it is, the second one is the text."""
     for batch in batches:
-        rows = [judge(t or "", model, share, least_words) for t in batch.column(1).to_pylist()]
+        rows = [judge(t, model, share, least_words) for t in texts_of(batch, batch.schema.names[1])]
         columns = list(zip(*rows, strict=True)) or [()] * len(COLUMNS)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, COLUMNS.values(), strict=True))], [batch.schema.names[0], *COLUMNS])
 
@@ -240,8 +269,9 @@ def _model() -> tuple[list, list]:
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5, least_words: int = 50) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for each row of docs.
 
-    A text is kept if it passes the base rules and its content lines have at least `share` of its words. Null texts have
-    no words and fail. Rows are judged one by one, so repeated rows and null ids need no care; other columns are not read.
+    A text is kept if it passes the base rules and its content lines have at least `share` of its words. Null and empty
+    texts have no words and fail; of equally likely labels a line's is content. Rows are judged one by one: repeated ones
+    alike, null ids are kept, an empty table gives an empty one. Other columns are not read.
     """
     names = ", ".join(f"{n} {'boolean' if k == pa.bool_() else 'long'}" for n, k in COLUMNS.items())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -249,5 +279,5 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_by_rules(docs: DataFrame, *, text_col: str = "text", share: float = 0.5, least_words: int = 50) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns."""
+    """The rows of docs that quality_rules keeps, with all their columns, whatever their names. Null and empty texts go."""
     return docs.mapInArrow(functools.partial(_filtered, _model(), share, least_words, text_col), docs.schema)
