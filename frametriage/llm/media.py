@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import itertools
 import re
 import struct
 import zlib
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_back, unused
 from .common import texts_of
 
 WIDTH = 64
@@ -28,6 +30,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 BREAKS = {"p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "tr", "td", "th", "table", "section", "article", "nav", "header", "footer", "blockquote", "pre", "title", "figure", "body", "html"}
 HIDDEN = {"script", "style", "template", "noscript"}
 MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "", "embed": "image"}
+#: Media elements that may have their references in `source` elements within.
+HOLDERS = {"audio": "audio", "video": "video", "picture": "image"}
 ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("digest", pa.string()), ("caption", pa.string())])
 ITEM_DDL = "struct<position int, kind string, text string, ref string, digest string, caption string>"
 
@@ -85,6 +89,7 @@ class _Page(HTMLParser):
         self.items: list[dict] = []
         self.buffer: list[str] = []
         self.hidden = 0
+        self.holders: list[str] = []
         self.caption: list[str] | None = None
         self.figure: list[int] = []  # where the open figures' items begin
 
@@ -99,13 +104,16 @@ class _Page(HTMLParser):
         self.items.append({"position": len(self.items), "kind": kind, "text": text, "ref": ref, "digest": digest, "caption": caption})
 
     def handle_starttag(self, tag, attrs):
+        if tag in HOLDERS:
+            self.holders.append(tag)
         if tag in HIDDEN:
             self.hidden += 1
         elif tag in MEDIA:
             own = dict(attrs)
-            if ref := own.get("src"):
+            if (ref := own.get("src")) and not self.hidden:
                 self.flush()
-                self.add(MEDIA[tag] or (own.get("type") or "image").split("/")[0], ref=ref, caption=own.get("alt") or own.get("title") or None)
+                held_by = HOLDERS[self.holders[-1]] if self.holders else "image"
+                self.add(MEDIA[tag] or (own["type"].split("/")[0] if own.get("type") else held_by), ref=ref, caption=own.get("alt") or own.get("title") or None)
         elif tag == "figcaption":
             self.flush()
             self.caption = []
@@ -114,7 +122,13 @@ class _Page(HTMLParser):
             if tag == "figure":
                 self.figure.append(len(self.items))
 
+    def parse_marked_section(self, i, report=1):
+        """`<![...]>` is a comment in HTML."""
+        return self.parse_bogus_comment(i)
+
     def handle_endtag(self, tag):
+        if tag in self.holders:
+            self.holders.remove(tag)
         if tag in HIDDEN:
             self.hidden = max(self.hidden - 1, 0)
         elif tag == "figcaption" and self.caption is not None:
@@ -157,7 +171,7 @@ def page_sequences(pages: DataFrame, *, id_col: str = "page_id", html_col: str =
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        payloads = list(map(payload_of, texts_of(batch)))
+        payloads = [payload_of(t) for t in texts_of(batch)]
         yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array(map(to_png, payloads), pa.binary())], ["digest", "media"])
 
 
@@ -203,7 +217,9 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     items = items.select(*own, "item.*")
     # Texts have no digest: each gets a key of its own that matches nothing, not one key for all.
     key = F.coalesce("digest", F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
-    return items.withColumn("_key", key).join(media.withColumnRenamed("digest", "_key").hint("merge"), "_key", "left").drop("_key")
+    name = unused(items, "key")
+    # A frequent digest's items are split.
+    return join_back(items.withColumn(name, key), media.withColumnRenamed("digest", name), [name], "left").drop(name)
 
 
 def reassemble(resolved: DataFrame, *columns: str) -> DataFrame:
@@ -219,7 +235,8 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = hashlib.sha256(payload_of(text)).hexdigest()
             lines = [f"<p>{html.escape(x, quote=False)}</p>" for x in text.split("\n")]
             half = len(lines) // 2
-            figure = f'<figure><img src="{SCHEME}{digest}"><figcaption>{html.escape(" ".join(re.findall(r"[^\s<>&]+", text[:200])[:5]))}</figcaption></figure>'
+            caption = " ".join(m[0] for m in itertools.islice(re.finditer(r"[^\s<>&]+", text), 5))
+            figure = f'<figure><img src="{SCHEME}{digest}"><figcaption>{html.escape(caption)}</figcaption></figure>'
             pages.append(f"<html><body><h1>Document {doc_id}</h1>{''.join(lines[:half])}{figure}{''.join(lines[half:])}</body></html>")
             sizes.append(len(text.encode()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], ["doc_id", "n_bytes", "html"])
