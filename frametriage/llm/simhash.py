@@ -8,6 +8,9 @@ The perfect binary Golay code (23, 12, 7) gives the tolerance: every 23-bit word
 codeword. A segment's keys are the indices of the codewords nearest to it and to its one-bit neighbours. Segments that
 differ in at most 2 bits have a common neighbour and so share a key. A fingerprint has up to four times six keys of
 (segment number, exact segment, codeword index); those that share one are candidates, and all are verified.
+
+These are 2^30 keys. Where one holds too many fingerprints to compare, its bucket is dealt anew by a second level: of the
+two segments left one has at most 1 error, so two that link share a codeword index of the third or the fourth segment.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from ..operators.skew import join_back
+from ..operators.skew import join_back, unused
 from .common import cut, texts_of
 
 SEED = 42
-#: Fingerprints that are compared with each other in one bucket; larger buckets go by common neighbours.
+#: Fingerprints that are compared with each other in one bucket; larger ones are dealt anew, then go by common neighbours.
 BUCKET = 2048
 #: Generator polynomial of the binary Golay code.
 GOLAY = 0b110001110101
@@ -101,6 +104,26 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], ["key", "fp"])
 
 
+def refined_keys(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For members of buckets their keys of the second level, and the position of each one's member."""
+    table, u, keys, rows = segment_keys(), fp.view(np.uint64), [], []
+    for j in (2, 3):
+        shift = (16 * ((key >> 28) + j & 3)).astype(np.uint64)
+        own = table[(u >> shift & np.uint64(0xFFFF)).astype(np.int64)]
+        fresh = np.ones(own.shape, bool)
+        fresh[:, 1:] = own[:, 1:] != own[:, :1]
+        keys.append((own | (j & 1) << 12 | key[:, None] << 13)[fresh])
+        rows.append(np.nonzero(fresh)[0])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp = batch.column("fp").to_numpy()
+        keys, rows = refined_keys(batch.column("key").to_numpy(), fp)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], ["key", "fp"])
+
+
 def forest(fps: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Links within the distance that join up each component of a bucket: one less than its members."""
     rest = np.array(fps, np.int64)
@@ -175,16 +198,23 @@ def neighbour_links(fps: DataFrame) -> DataFrame:
     return stars.where("a is not null and size(all) > 1").select("a", F.explode("all").alias("b")).where("a != b").distinct()
 
 
-def fingerprint_links(fps: DataFrame, most: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """a, b: links (within `most` <= 3 bits) between distinct fingerprints, enough to join up every group of them."""
-    keyed = fps.select("fp").mapInArrow(_keys, "key long, fp long")
+def _bucket_links(keyed: DataFrame, most: int, bucket: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links within the buckets of at most `bucket` fingerprints; key, fp of the larger ones, if there are any."""
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(join_back(keyed, counts, ["key"]).select("key", "fp", "n"))
     cold = shared.where(F.col("n") <= bucket).select("key", "fp").repartition("key").sortWithinPartitions("key")
-    links = cold.mapInArrow(functools.partial(_links, most), "a long, b long")
-    hot = shared.where(F.col("n") > bucket).select("fp").distinct()
-    if not hot.isEmpty():
-        more = neighbour_links(hot)
+    hot = shared.where(F.col("n") > bucket).select("key", "fp")
+    return cold.mapInArrow(functools.partial(_links, most), "a long, b long"), None if hot.isEmpty() else hot
+
+
+def fingerprint_links(fps: DataFrame, most: int = 3, bucket: int = BUCKET) -> DataFrame:
+    """a, b: links (within `most` <= 3 bits) between distinct fingerprints, enough to join up every group of them."""
+    links, hot = _bucket_links(fps.select("fp").mapInArrow(_keys, "key long, fp long"), most, bucket)
+    if hot is not None:
+        more, hot = _bucket_links(hot.mapInArrow(_refined, "key long, fp long"), most, bucket)
+        links = links.unionByName(more)
+    if hot is not None:
+        more = neighbour_links(hot.select("fp").distinct())
         if most < 3:
             more = more.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most)
         links = links.unionByName(more)
@@ -211,33 +241,38 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Fingerprints link at 3 or fewer differing bits; component_id is the smallest doc_id that can be reached. Null texts
     and texts without words have fingerprint zero, linked like any other. Rows are kept apart even if they repeat; a null
-    doc_id is kept and is nobody's smallest unless a group has no other. Other columns are not read. No bound drops a
-    link: buckets over `bucket` fingerprints are linked by their common neighbours.
+    doc_id is kept and is nobody's smallest unless a group has no other. Other columns are not read, an empty table gives
+    an empty one. No bound drops a link: buckets over `bucket` fingerprints are dealt anew, then linked by common neighbours.
     """
     fps = fingerprints(docs, id_col=id_col, text_col=text_col, size=size)
     named = fps.join(fingerprint_classes(fps, bucket), "fp")
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _with_fingerprint(size: int, column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_fingerprint(size: int, column: str, name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fps = pa.array([fingerprint(t, size) for t in texts_of(batch, column)], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "_fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, name])
 
 
 def keep_representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """Of each group of simhash_groups one row with the smallest id, with all columns of docs.
+    """Of each group of simhash_groups one row, with all columns of docs, whatever their names: the one with the smallest id.
 
-    Where an id repeats, rows are told apart by their fingerprints, and of several with the group's smallest id any one
-    stays. Of a group without any id one row stays too.
+    Where ids repeat, it is among the rows with the group's smallest id the one with the smallest (signed) fingerprint, then
+    with the smallest text, a null one first, then with the smallest hash of its other columns; of rows that are alike in
+    all this, one. Ids that are null come after all others. An empty table stays empty.
     """
     fps = fingerprints(docs, id_col=id_col, text_col=text_col, size=size)
     classes = fingerprint_classes(fps)
-    own = F.col(id_col).cast("long")
+    own, head = F.col(f"`{id_col}`").cast("long"), unused(docs, "head")
     if fps.groupBy("doc_id").count().where("count > 1").isEmpty():
-        heads = classes.select(F.col("component_id").alias("_id")).distinct()
-        return docs.join(heads, own.eqNullSafe(F.col("_id")), "left_semi")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    rows = docs.mapInArrow(functools.partial(_with_fingerprint, size, text_col), schema)
-    named = rows.join(classes.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_id")), "_fp")
-    return named.where(own.eqNullSafe(F.col("_id"))).dropDuplicates(["_root"]).select(*docs.columns)
+        heads = classes.select(F.col("component_id").alias(head)).distinct()
+        return docs.join(heads, own.eqNullSafe(F.col(head)), "left_semi")
+    name = unused(docs, "fp")
+    rows = docs.mapInArrow(functools.partial(_with_fingerprint, size, text_col, name), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    rest = [F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, T.MapType | T.VariantType) else F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text_col)]
+    order = F.struct(F.col(name), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.lit(0), *rest))
+    packed = rows.select(own.alias("id"), F.col(name).alias("fp"), order.alias("order"), F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("row"))
+    named = packed.join(classes.select("fp", "root", "component_id"), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    found = named.groupBy("root").agg(F.min_by("row", "order").alias("row"))
+    return found.select(*(F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)))
