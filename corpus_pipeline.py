@@ -26,13 +26,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: later repeats of line runs go from the texts; n_chars follows."""
-    kept = dedup_lines(docs).drop("n_lines", "n_removed")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Operator 3: later repeats of line runs go from the texts; n_chars follows. No row goes."""
+    kept = dedup_lines(docs, counts=False)
+    chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(chars.alias(c) if c == "n_chars" else f"`{c}`" for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: of each group the document with the smallest id stays."""
+    """Operator 10: of each group the document with the smallest id stays; where ids repeat, keep_representatives says which."""
     return keep_representatives(docs)
 
 
@@ -53,12 +54,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written as Parquet to the folder that executors share and read by the next."""
+    """The stages in order, each written as Parquet to the folder that executors share and read by the next, which then deletes it."""
     checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/corpus-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
     return docs
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
