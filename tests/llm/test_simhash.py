@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from frametriage.llm.simhash import fingerprint, fingerprint_keys, fingerprint_links, simhash_groups
+from frametriage.llm.simhash import fingerprint, fingerprint_keys, fingerprint_links, keep_representatives, refined_keys, simhash_groups
 from frametriage.operators.components import connected_components
 
 
@@ -52,7 +52,22 @@ def test_keys_are_shared_within_three_bits():
         assert set(keys[rows == 0]) & set(keys[rows == 1])
 
 
-@pytest.mark.parametrize("bucket", [2048, 3, 1])
+def test_second_level_keys_are_shared_within_three_bits():
+    r = random.Random(6)
+    for _ in range(1000):
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), r.randint(0, 3)):
+            b ^= 1 << bit
+        fp = np.array([a, b], np.uint64).view(np.int64)
+        keys, rows = fingerprint_keys(fp)
+        for key in set(keys[rows == 0]) & set(keys[rows == 1]):
+            second, of = refined_keys(np.array([key, key]), fp)
+            assert set(second[of == 0]) & set(second[of == 1])
+            assert set(second >> 13) == {key}
+
+
+@pytest.mark.parametrize("bucket", [2048, 12, 3, 1])
 def test_links_join_up_all_groups(spark, bucket):
     r = random.Random(2)
     fps = {0, -1}
@@ -101,3 +116,16 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(50)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_representatives_where_names_clash_and_ids_repeat(spark):
+    rows = [(1, "a b c", 1, 2, 3), (1, "a b c", 0, 2, 3), (2, "a b c", 1, 2, 3), (4, "x y z", 9, 2, 3), (4, "X y z", 9, 2, 3), (None, None, 1, 2, 3), (None, "", 0, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, Head int, _fp int")
+    got = keep_representatives(docs)
+    assert got.schema == docs.schema
+    first = sorted(map(tuple, got.collect()), key=str)
+    assert [x[:2] for x in first] == [(1, "a b c"), (4, "X y z"), (None, None)]
+    assert first == sorted(map(tuple, keep_representatives(docs.orderBy("_id", "text").repartition(3)).collect()), key=str)
+    unique = spark.createDataFrame([(i, t, 7, 8, 9) for i, t in enumerate(["a b c", "a b c", None, "", "q"])], docs.schema)
+    assert sorted(x.doc_id for x in keep_representatives(unique).collect()) == [0, 2, 4]
+    assert keep_representatives(docs.limit(0)).collect() == []
