@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import errors
+
 SIDE = 8
 MARGIN = 1e-9
 EMPTY = 0
@@ -46,6 +48,14 @@ def hash_of(image: np.ndarray) -> int | None:
     return None if cells is None else int(hashes(cells[None])[0])
 
 
+def strict_hash(image: np.ndarray) -> int:
+    """hash_of, or an error for an image that is too small."""
+    found = hash_of(image)
+    if found is None:
+        raise errors.TriageError(errors.BROKEN_PREVIEW, "image", f"{image.shape[1]}x{image.shape[0]} pixels, at least {SIDE}x{SIDE}")
+    return found
+
+
 def _cells(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
     """The rows with 64 cells, and which they are."""
     lists = batch.column(column)

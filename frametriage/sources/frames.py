@@ -10,6 +10,7 @@ import functools
 import io
 import os
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,19 @@ def preview_of(tiff: TiffFile) -> dict:
         return row
 
 
+def read_stream(source: BinaryIO, n: int, name: str) -> bytes:
+    """Exactly n bytes of a preview from a stream that may give fewer at a time; an error if it ends before or fails."""
+    out = bytearray()
+    try:
+        while len(out) < n and (part := source.read(n - len(out))):
+            out += part
+    except OSError as e:
+        raise errors.TriageError(errors.BROKEN_PREVIEW, name, str(e)) from e
+    if len(out) < n:
+        raise errors.TriageError(errors.BROKEN_PREVIEW, name, f"{n} bytes expected, {len(out)} read")
+    return bytes(out)
+
+
 def to_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[name] for r in rows], kind) for name, kind in COLUMNS.items()], list(COLUMNS))
 

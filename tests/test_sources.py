@@ -1,6 +1,7 @@
 """Listing, TIFF, previews, JPEG, hashes, the whole scan and the command line, on synthetic files."""
 
 import dataclasses
+import io
 import json
 import os
 import struct
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from frametriage import cli
+from frametriage import cli, errors
 from frametriage.functions import phash
 from frametriage.operators import report
 from frametriage.plans import triage
@@ -43,6 +44,47 @@ def test_jpeg_round_trip(name, side, restart):
     assert np.abs(jpeg.luma(gray_jpeg(image, restart)).astype(int) - image).max() <= 2
 
 
+def plain_luma(image, steps, rows, columns):
+    """What is left of the first plane after quantising, block by block from the formulas."""
+    x = np.arange(8)
+    basis = np.array([[(0.5**0.5 if u == 0 else 1) / 2 * np.cos((2 * i + 1) * u * np.pi / 16) for i in x] for u in x])
+    padded = np.pad(image.astype(float), ((0, rows - image.shape[0]), (0, columns - image.shape[1])), mode="edge") - 128
+    out = np.zeros_like(padded)
+    for r in range(0, rows, 8):
+        for k in range(0, columns, 8):
+            f = np.rint(basis @ padded[r : r + 8, k : k + 8] @ basis.T / steps.reshape(8, 8)) * steps.reshape(8, 8)
+            out[r : r + 8, k : k + 8] = basis.T @ f @ basis + 128
+    return np.clip(out, 0, 255)[: image.shape[0], : image.shape[1]]
+
+
+@pytest.mark.parametrize("sampling", [(1, 1), (2, 1), (1, 2), (2, 2), (4, 1)])
+@pytest.mark.parametrize(("shape", "restart"), [((64, 64), 0), ((37, 53), 2), ((8, 8), 0), ((9, 100), 1)])
+def test_color_jpeg(sampling, shape, restart):
+    image = np.random.default_rng(7).integers(0, 256, shape).astype(np.uint8)
+    steps = samples.camera_steps()
+    assert len(set(steps[0].tolist())) > 8 and (steps[0].reshape(8, 8) != steps[0].reshape(8, 8).T).any()
+    got = jpeg.luma(samples.color_jpeg(image, sampling, restart)).astype(float)
+    h, v = sampling
+    want = plain_luma(image, steps[0], -(-shape[0] // (8 * v)) * 8 * v, -(-shape[1] // (8 * h)) * 8 * h)
+    assert got.shape == shape and np.abs(got - want).max() <= 0.51
+
+
+def test_strict_hash_and_streams():
+    assert phash.strict_hash(pattern("checker")) == phash.hash_of(pattern("checker"))
+    with pytest.raises(errors.TriageError) as e:
+        phash.strict_hash(pattern("flat", 7))
+    assert e.value.label == "onizleme-bozuk"
+
+    class Slow(io.BytesIO):
+        def read(self, n=-1):
+            return super().read(min(n, 3))
+
+    assert frames.read_stream(Slow(b"0123456789"), 8, "x") == b"01234567"
+    with pytest.raises(errors.TriageError) as e:
+        frames.read_stream(Slow(b"0123"), 8, "x")
+    assert e.value.label == "onizleme-bozuk" and "4 read" in str(e.value)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**32 - 1), st.integers(1, 40), st.integers(1, 40), st.integers(0, 4))
 def test_jpeg_of_noise(seed, height, width, restart):
@@ -129,6 +171,12 @@ def test_scan_report_export(spark, tmp_path):
     path.write_text(json.dumps(text))
     members = report.members_of_report(spark, str(path)).collect()
     assert sorted(m.path for m in members) == sorted(r.path for r in found.frames.collect()) and all(m.hash >= 0 and m.total > 0 for m in members)
+    saved = str(tmp_path / "saved")
+    report.save_report(saved, str(root), 8, found.frames, found.skipped)
+    assert sorted(map(tuple, report.saved_members(spark, saved).collect())) == sorted(map(tuple, members))
+    lines = [json.loads(x) for part in sorted((tmp_path / "saved" / "gruplar").glob("part-*")) for x in part.read_text().splitlines()]
+    assert lines == text["gruplar"]
+    assert json.loads("".join(p.read_text() for p in (tmp_path / "saved" / "baslik").glob("part-*"))) == {k: v for k, v in text.items() if k not in ("gruplar", "atlanan")}
     assert cli.main(["export", str(path), str(out)]) == 0 and len(list(out.iterdir())) == 3
     assert cli.main(["export", str(path), str(root)]) == 1
     flat = triage.scan(spark, str(root), hashing=False).statistics().first()
