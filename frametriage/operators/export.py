@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import errors
+from .components import use_checkpoint_dir
 
 CHUNK = 64 * 1024
 SUFFIX = ".gecici"
@@ -55,11 +56,22 @@ def numbered_name(name: Column, number: Column) -> Column:
     return F.when(number == 1, name).otherwise(F.concat(stem, F.lit("-"), number.cast("string"), suffix))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds number, from 1 for each file_name in order of group_id. A frequent name's rows are dealt over ranges, which are numbered apart and shifted."""
+    use_checkpoint_dir(rows.sparkSession)
+    spread = rows.repartitionByRange("file_name", "group_id").withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = spread.groupBy("file_name", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("file_name", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy("file_name", "part").orderBy("group_id", "path"))
+    return spread.withColumn("own", own).join(shifts, ["file_name", "part"]).withColumn("number", F.col("own") + F.col("shift"))
+
+
 def export_plan(recommended: DataFrame, only: int | None = None) -> DataFrame:
-    """group_id, source, target name for group_id, path, file_name: equal names are numbered in order of group_id."""
+    """group_id, source, target name for group_id, path, file_name: equal names are numbered in order of group_id, then path."""
     rows = recommended if only is None else recommended.where(F.col("group_id") == only)
-    number = F.row_number().over(Window.partitionBy("file_name").orderBy("group_id"))
-    return rows.select("group_id", F.col("path").alias("source"), numbered_name(F.col("file_name"), number).alias("target"))
+    rows = _numbered(rows.select("group_id", "path", "file_name"))
+    return rows.select("group_id", F.col("path").alias("source"), numbered_name(F.col("file_name"), F.col("number")).alias("target"))
 
 
 def export(report: dict, destination: str, only: int | None = None) -> list[tuple[int, str, int, float]]:

@@ -65,11 +65,9 @@ def grouped(frames: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
     rest = items.where("hash is null").select("item")
     alone = similarity.dense_numbers(rest, "item", "k").select("item", (F.col("k") + numbered).alias("group_id"))
     of = membership.select("item", "group_id").unionByName(alone)
-    conflicted = similarity.conflicts(membership, t).select("group_id").distinct().withColumn("conflicted", F.lit(True))
-    facts = similarity.diameters(membership).join(conflicted, "group_id", "left")
-    facts = facts.unionByName(alone.select("group_id", F.lit(0).alias("diameter"), F.lit(None).cast("boolean").alias("conflicted")))
+    facts = similarity.diameters(membership).unionByName(alone.select("group_id", F.lit(0).alias("diameter")))
     members = frames.join(places, "path").join(of, "item")
-    return members, facts.select("group_id", "diameter", F.coalesce("conflicted", F.lit(False)).alias("conflicted"))
+    return members, facts.select("group_id", "diameter", (F.col("diameter") > min(t, 64)).alias("conflicted"))
 
 
 def report_groups(frames: DataFrame, t: int) -> DataFrame:
@@ -158,8 +156,36 @@ def read_report(path: str) -> dict:
     return report
 
 
+#: Spark's schema of the report's groups, under the same keys.
+GROUP_SCHEMA = (
+    "kimlik bigint, oneri string, gerekce string, cakismali boolean, en_uzak_mesafe int, uyeler array<struct<yol string, dosya_adi string, hash string, "
+    "puan struct<bilesenler array<struct<ad string, puan double, agirlik double, gerekce string>>, toplam double, katilan_bilesen int>, toplam_puan double>>"
+)
+
+
+def _members(groups: DataFrame) -> DataFrame:
+    rows = groups.select(F.col("kimlik").alias("group_id"), F.explode("uyeler").alias("m"))
+    return rows.select("group_id", F.col("m.yol").alias("path"), hash_from_hex(F.col("m.hash")).alias("hash"), F.col("m.toplam_puan").alias("total"))
+
+
 def members_of_report(spark, path: str) -> DataFrame:
     """group_id, path, hash, total of all members of a report file, read by Spark."""
-    groups = spark.read.option("multiLine", True).json(path).select(F.explode("gruplar").alias("g"))
-    rows = groups.select(F.col("g.kimlik").alias("group_id"), F.explode("g.uyeler").alias("m"))
-    return rows.select("group_id", F.col("m.yol").alias("path"), hash_from_hex(F.col("m.hash")).alias("hash"), F.col("m.toplam_puan").alias("total"))
+    file = spark.read.schema(f"gruplar array<struct<{GROUP_SCHEMA}>>").option("multiLine", True).json(path)
+    return _members(file.select(F.inline("gruplar")))
+
+
+def save_report(path: str, root: str, t: int, frames: DataFrame, skipped: DataFrame) -> None:
+    """The report as a folder of JSON lines, for collections too large for one document: gruplar, atlanan and one line of baslik.
+
+    All parts are written by the executors, in the order of the document; nothing comes to the driver.
+    """
+    kept = {"ignoreNullFields": "false"}
+    report_rows(report_groups(frames, t)).write.options(**kept).json(f"{path}/gruplar")
+    skipped.orderBy("path").select(*(F.col(k).alias(v) for k, v in SKIPPED_KEYS.items())).write.options(**kept).json(f"{path}/atlanan")
+    counts = F.struct(*(F.col(k).alias(v) for k, v in STAT_KEYS.items())).alias("istatistik")
+    statistics(frames, skipped).select(F.lit(VERSION).alias("surum"), F.lit(SCHEMA_VERSION).alias("sema"), F.lit(root).alias("kok"), F.lit(t).alias("esik"), counts).write.options(**kept).json(f"{path}/baslik")
+
+
+def saved_members(spark, path: str) -> DataFrame:
+    """group_id, path, hash, total of all members of a saved report."""
+    return _members(spark.read.schema(GROUP_SCHEMA).json(f"{path}/gruplar"))

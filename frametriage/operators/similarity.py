@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.phash import hamming
 from .components import connected_components, use_checkpoint_dir
+from .skew import join_back
 
 #: Distinct hashes that are broadcast at most (16 bytes each); more go through bands or blocks.
 BROADCAST_ROWS = 20_000
-#: Rows of a block of the grid join.
+#: Rows of a block of the grid join, and of the grid of a group.
 BLOCK_ROWS = 20_000
+GROUP_ROWS = 1_000
 
 
 def _threshold(t: int) -> int:
@@ -52,15 +54,23 @@ def _banded(left: DataFrame, t: int) -> DataFrame:
     return one.join(near, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= t)).select("a", "b").distinct()
 
 
-def _grid(left: DataFrame, n: int, t: int) -> DataFrame:
-    """All pairs of hashes in blocks: each row goes to the tasks of its row and column of a triangular grid."""
-    side = -(-n // BLOCK_ROWS)
-    dealt = left.withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(side)))
-    rows = dealt.select(F.col("hash").alias("a"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(side - 1).cast("long"))).alias("j"))
-    columns = dealt.select(F.col("hash").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"))
-    near = hamming(F.col("a"), F.col("b")) <= t
+def _triangle(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a < b: all pairs of the distinct hashes of equal keys. Each row goes to the tasks of its row and column of a triangular grid.
+
+    dealt: keys, hash, side (of the keys' grid) and block (under side).
+    """
+    last = (F.col("side") - 1).cast("long")
+    rows = dealt.select(*keys, F.col("hash").alias("a"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), last)).alias("j"))
+    columns = dealt.select(*keys, F.col("hash").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"))
     once = (F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))
-    return rows.join(columns, ["i", "j"]).where(near & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return rows.join(columns, [*keys, "i", "j"]).where(once).select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _grid(left: DataFrame, n: int, t: int) -> DataFrame:
+    """Similar pairs among all pairs of hashes, in blocks."""
+    side = F.lit(-(-n // BLOCK_ROWS)).cast("long")
+    dealt = left.select("hash", side.alias("side"), F.pmod(F.xxhash64("hash"), side).alias("block"))
+    return _triangle(dealt, []).where(hamming(F.col("a"), F.col("b")) <= t)
 
 
 def hash_pairs(hashes: DataFrame, t: int) -> DataFrame:
@@ -89,11 +99,26 @@ def similar_pairs(items: DataFrame, t: int) -> DataFrame:
     return both.select(F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"), "distance")
 
 
+def _classes(items: DataFrame) -> DataFrame:
+    """hash, n: the distinct hashes and how many items have each."""
+    return items.where("hash is not null").groupBy("hash").agg(F.count("*").alias("n"))
+
+
+def pair_histogram(items: DataFrame, t: int) -> DataFrame:
+    """distance, pairs: the number of similar pairs of items, counted by classes of equal hashes without making the pairs."""
+    a, b = (_classes(items).select(F.col("hash").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    unlike = hash_pairs(items, t).join(a, "a").join(b, "b").select(hamming(F.col("a"), F.col("b")).alias("distance"), (F.col("n_a") * F.col("n_b")).alias("n"))
+    alike = _classes(items).where("n > 1").select(F.lit(0).alias("distance"), F.expr("n * (n - 1) div 2").alias("n"))
+    return unlike.unionByName(alike).groupBy("distance").agg(F.sum("n").alias("pairs"))
+
+
 def pair_counters(items: DataFrame, t: int) -> DataFrame:
-    """total_pairs (compared in the sense of the exact join), candidate_pairs (similar)."""
-    n = items.where("hash is not null").agg(F.count("*").alias("n"))
-    total = n.select(F.expr("n * (n - 1) div 2").alias("total_pairs"))
-    return total.crossJoin(similar_pairs(items, t).agg(F.count("*").alias("candidate_pairs")))
+    """total_pairs (compared in the sense of the exact join), candidate_pairs (similar). One row."""
+    n = _classes(items).select("n", F.lit(0).cast("long").alias("pairs"))
+    found = pair_histogram(items, t).select(F.lit(0).cast("long").alias("n"), "pairs")
+    total, pairs = (F.coalesce(F.sum(x), F.lit(0).cast("long")) for x in ("n", "pairs"))
+    sums = n.unionByName(found).agg(total.alias("n"), pairs.alias("candidate_pairs"))
+    return sums.select(F.expr("n * (n - 1) div 2").alias("total_pairs"), "candidate_pairs")
 
 
 def dense_numbers(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -124,9 +149,11 @@ def groups(items: DataFrame, t: int) -> DataFrame:
 
 
 def _inner_pairs(membership: DataFrame) -> DataFrame:
-    """Pairs of distinct hashes a < b in one group."""
+    """group_id, a < b: pairs of distinct hashes in one group. A large group's are dealt over a grid of its own."""
     own = membership.select("group_id", "hash").distinct()
-    return own.withColumnRenamed("hash", "a").join(own.withColumnRenamed("hash", "b"), "group_id").where("a < b")
+    sides = own.groupBy("group_id").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("side"))
+    dealt = join_back(own, sides, ["group_id"]).withColumn("block", F.pmod(F.xxhash64("hash"), F.col("side")))
+    return _triangle(dealt, ["group_id"])
 
 
 def conflicts(membership: DataFrame, t: int) -> DataFrame:
@@ -140,7 +167,7 @@ def conflicts(membership: DataFrame, t: int) -> DataFrame:
 
 
 def diameters(membership: DataFrame) -> DataFrame:
-    """group_id, diameter: the largest distance in each group, 0 for one of a single hash."""
+    """group_id, diameter: the largest distance in each group, 0 for one of a single hash. A group is conflicted if it is over the threshold."""
     most = _inner_pairs(membership).groupBy("group_id").agg(F.max(hamming(F.col("a"), F.col("b"))).alias("most"))
     return membership.select("group_id").distinct().join(most, "group_id", "left").select("group_id", F.coalesce("most", F.lit(0)).alias("diameter"))
 

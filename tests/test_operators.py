@@ -51,6 +51,34 @@ def test_conflicts_and_diameter(spark):
 
 def test_pair_counters(spark):
     assert tuple(similarity.pair_counters(items(spark, [0, 0, 1]), 0).first()) == (3, 1)
+    assert tuple(similarity.pair_counters(items(spark, []), 0).first()) == (0, 0)
+    own = items(spark, [0] * 30 + [1] * 20 + [None, 255])
+    want = {0: 30 * 29 // 2 + 20 * 19 // 2, 1: 600}
+    assert {r.distance: r.pairs for r in similarity.pair_histogram(own, 3).collect()} == want
+    assert tuple(similarity.pair_counters(own, 3).first()) == (51 * 50 // 2, sum(want.values()))
+
+
+def test_large_groups_go_through_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "GROUP_ROWS", 4)
+    r = random.Random(4)
+    rows = [(i, r.getrandbits(63), int(i >= 30)) for i in range(42)]
+    own = spark.createDataFrame(rows, "item long, hash long, group_id long")
+    far = lambda a, b: (a ^ b).bit_count()
+    want = {g: max(far(a, b) for _, a, x in rows for _, b, y in rows if x == y == g) for g in (0, 1)}
+    assert {x.group_id: x.diameter for x in similarity.diameters(own).collect()} == want
+    found = sorted((x.first, x.second, x.distance) for x in similarity.conflicts(own, 30).select("first", "second", "distance").collect())
+    assert found == [(i, j, far(a, b)) for i, a, x in rows for j, b, y in rows if i < j and x == y and far(a, b) > 30]
+
+
+def test_export_numbers_within_names(spark):
+    rows = [(i, f"p{i}", "a.cr2" if i % 3 else "b.cr2") for i in range(60)]
+    plan = export.export_plan(spark.createDataFrame(rows, "group_id long, path string, file_name string")).collect()
+    seen = {"a": 0, "b": 0}
+    for x in sorted(plan):
+        stem = "a" if x.group_id % 3 else "b"
+        seen[stem] += 1
+        assert x.target == (f"{stem}.cr2" if seen[stem] == 1 else f"{stem}-{seen[stem]}.cr2")
+    assert len(plan) == 60
 
 
 @pytest.mark.parametrize("t", [0, 1, 3, 4, 8, 11, 12, 20, 70])
