@@ -86,7 +86,7 @@ rep AS (SELECT m.group_id, first_value(path) OVER w AS recommended, coalesce(d >
 FROM mb m JOIN fr USING (item) LEFT JOIN ds USING (group_id) WINDOW w AS (PARTITION BY m.group_id ORDER BY total DESC, path))"""
 _BEST = f"WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY burst_id ORDER BY total DESC, path) AS place FROM x)"
 #: Hashes of the synthetic patterns.
-_CHECKER, _VERTICAL, _HORIZONTAL, _FLAT = "7ffaffeaffaaffaa", "2affffffffffffff", "7f7fff7fff7fff7f", "0" * 16
+_CHECKER, _WIDE_CHECKER, _VERTICAL, _HORIZONTAL, _FLAT = "7ffaffeaffaaffaa", "7fafffaffffafffa", "2affffffffffffff", "7f7fff7fff7fff7f", "0" * 16
 
 
 def _meta(name, make="Canon", model="NULL", e="0.002", f="2.8", iso=200, focal=50, orientation=1, width=4000, height=3000, aspect="1.333333"):
@@ -97,7 +97,7 @@ def _meta(name, make="Canon", model="NULL", e="0.002", f="2.8", iso=200, focal=5
 _K = "'Test Kamera'"
 _TIFF = ", ".join(
     [
-        *(_meta(n, model=_K) for n in ("big_endian.dng", "broken_preview.cr2", "canon.cr2", "flat.cr2", "strip.tif")),
+        *(_meta(n, model=_K) for n in ("big_endian.dng", "broken_preview.cr2", "canon.cr2", "color_420.cr2", "color_422.nef", "flat.cr2", "strip.tif")),
         "('circle.cr2', 'Canon', 'Test Kamera', NULL, NULL, NULL, NULL, NULL, 1, 4000, 3000, 1.333333, 0.0)",
         _meta("nikon.nef", "Nikon", _K, "0.001", "4", 400, 85, 1, 6048, 4024, "round(6048::DOUBLE / 4024, 6)"),
         _meta("sony.arw", "Sony", _K, "0.004", "5.6", 100, 35, 6, 7008, 4672, "round(4672::DOUBLE / 7008, 6)"),
@@ -111,6 +111,7 @@ ORACLE = {
     "dct_coefficients": f"WITH {_HASH} SELECT vec_id, CAST(i AS INTEGER) AS i, round(v, 6) AS coefficient FROM coef",
     "hash_bits": f"WITH {_HASH} SELECT vec_id, CAST(i AS INTEGER) AS i FROM h, range(64) i(i) WHERE i > 0 AND (hash >> (63 - greatest(i, 1))) & 1 = 1",
     "hash_bands": f"WITH {_HASH} SELECT vec_id, " + ", ".join(f"(hash >> {16 * k}) & 65535 AS band{k}" for k in range(4)) + " FROM h",
+    "hash_from_hex": f"WITH {_HASH} SELECT vec_id, hash, hash >> 36 AS high, CAST(NULL AS BIGINT) AS none FROM h",
     "hamming_pairs_t18": f"WITH {_PAIRS} SELECT first, second, distance FROM pairs",
     "banded_pairs_t8": f"""WITH {_HASH}, m AS (SELECT vec_id, hash & 71777214294589695 AS hash FROM h)
 SELECT a.vec_id AS first, b.vec_id AS second, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance
@@ -119,6 +120,7 @@ FROM m a JOIN m b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <=
     "hamming_histogram": f"WITH {_PAIRS} SELECT distance, count(*) AS pairs FROM pairs GROUP BY distance",
     "similarity_groups_t18": f"WITH RECURSIVE {_GROUPS} SELECT vec_id, group_id FROM grp",
     "group_sizes_t18": f"WITH RECURSIVE {_GROUPS} SELECT group_id, count(*) AS size FROM grp GROUP BY group_id",
+    "group_count_t18": f"WITH RECURSIVE {_GROUPS} SELECT count(DISTINCT group_id) AS groups FROM grp",
     "group_conflicts_t18": f"WITH RECURSIVE {_GROUPS} SELECT group_id, first, second, distance, 18 AS threshold FROM far WHERE distance > 18",
     "group_diameter_t18": f"WITH RECURSIVE {_GROUPS} SELECT g.group_id, coalesce(max(distance), 0) AS diameter FROM (SELECT DISTINCT group_id FROM grp) g LEFT JOIN far USING (group_id) GROUP BY g.group_id",
     "conflicted_groups_t18": f"WITH RECURSIVE {_GROUPS} SELECT count(DISTINCT group_id) AS conflicted_groups FROM far WHERE distance > 18",
@@ -130,6 +132,16 @@ FROM m a JOIN m b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <=
     "oriented_aspect": f"WITH {_SCORES} SELECT shot_id, w, h, round(aspect, 6) AS aspect FROM x",
     "crop_factor": f"WITH {_SCORES} SELECT shot_id, coalesce(round(CASE WHEN focal_mm > 0 AND width > 0 AND height > 0 THEN 43.266::DOUBLE * focal_mm / sqrt(width::DOUBLE * height) END, 10), 0.0) AS crop_factor FROM x",
     "exposure_rational": f"WITH {_SCORES} SELECT shot_id, round(e::FLOAT::DOUBLE, 7) AS exposure_s FROM x",
+    "exposure_alias": f"WITH {_SCORES} SELECT shot_id, round(e, 7) AS exposure FROM x",
+    "saturated_width": f"WITH {_SCORES} SELECT shot_id, least(width * 12, 65535) AS width FROM x",
+    "clean_text": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN trim(o_orderpriority) END AS text FROM orders",
+    "tag_lookup": """WITH l AS (SELECT *, l_returnflag = 'R' AS exif FROM lineitem)
+SELECT l_orderkey, min(l_partkey) FILTER (NOT exif AND l_linenumber = 1) AS first,
+  coalesce(min(l_partkey) FILTER (exif AND l_linenumber = 3), min(l_partkey) FILTER (NOT exif AND l_linenumber = 3), min(l_partkey) FILTER (exif AND l_linenumber = 2), min(l_partkey) FILTER (NOT exif AND l_linenumber = 2)) AS of_list,
+  bool_or(exif AND l_linenumber = 1) AS has_first, coalesce(string_agg(l_linenumber, ',' ORDER BY l_linenumber) FILTER (NOT exif), '') AS tags FROM l GROUP BY l_orderkey""",
+    "component_by_name": f"WITH {_SCORES} SELECT shot_id, round(iso_balance, 4) AS iso_balance, round(crop, 4) AS crop, CAST(NULL AS DOUBLE) AS none FROM x",
+    "score_by_other_settings": f"""WITH {_SCORES}, y AS (SELECT *, CASE WHEN aspect > 0 THEN {_CLAMP("100 * exp(-abs(ln(aspect) - ln(1.25)) / 0.35)")} END AS c FROM x)
+SELECT shot_id, round(CASE WHEN exposure IS NULL AND c IS NULL THEN 0 ELSE (coalesce(exposure * 0.5, 0) + coalesce(c * 1.5, 0)) / ((exposure IS NOT NULL)::INT * 0.5::DOUBLE + (c IS NOT NULL)::INT * 1.5::DOUBLE) END, 4) AS total, 2.0::DOUBLE AS weight_sum FROM y""",
     "score_components": f"WITH {_SCORES} SELECT shot_id, " + ", ".join(f"round({n}, 4) AS {n}" for n in ("sharpness", "exposure", "crop", "composition", "iso_balance")) + " FROM x",
     "score_total": f"WITH {_SCORES} SELECT shot_id, total, n AS n_components FROM x",
     "strongest_component": f"""WITH {_SCORES}, u AS (
@@ -146,11 +158,12 @@ FROM m a JOIN m b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.hash, b.hash)) <=
 nr AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY group_id) AS k FROM b)
 SELECT group_id, source, concat(stem, CASE WHEN k > 1 THEN concat('-', k) ELSE '' END, '.CR2') AS target FROM nr""",
     "tiff_decode": f"SELECT * FROM (VALUES {_TIFF}) t(path, make, model, capture_time, exposure_s, f_number, iso, focal_mm, orientation, width, height, aspect, crop_factor)",
-    "preview_locate": """SELECT * FROM (VALUES ('big_endian.dng', true, 'JPEGInterchangeFormat'), ('broken_preview.cr2', true, 'JPEGInterchangeFormat'), ('canon.cr2', true, 'JPEGInterchangeFormat'),
+    "preview_locate": """SELECT * FROM (VALUES ('big_endian.dng', true, 'JPEGInterchangeFormat'), ('broken_preview.cr2', true, 'JPEGInterchangeFormat'), ('canon.cr2', true, 'JPEGInterchangeFormat'), ('color_420.cr2', true, 'JPEGInterchangeFormat'), ('color_422.nef', true, 'JPEGInterchangeFormat'),
   ('circle.cr2', false, NULL), ('flat.cr2', true, 'JPEGInterchangeFormat'), ('nikon.nef', false, NULL), ('sony.arw', true, 'JPEGInterchangeFormat'),
   ('strip.tif', true, 'StripOffsets'), ('unknown_type.cr2', false, NULL), ('zero_denominator.cr2', true, 'JPEGInterchangeFormat')) t(path, has_preview, preview_source)""",
-    "jpeg_luma_hash": f"""SELECT * FROM (VALUES ('big_endian.dng', '{_CHECKER}'), ('canon.cr2', '{_CHECKER}'), ('flat.cr2', '{_FLAT}'), ('sony.arw', '{_VERTICAL}'),
+    "jpeg_luma_hash": f"""SELECT * FROM (VALUES ('big_endian.dng', '{_CHECKER}'), ('canon.cr2', '{_CHECKER}'), ('color_420.cr2', '{_WIDE_CHECKER}'), ('color_422.nef', '{_HORIZONTAL}'), ('flat.cr2', '{_FLAT}'), ('sony.arw', '{_VERTICAL}'),
   ('strip.tif', '{_HORIZONTAL}'), ('zero_denominator.cr2', '{_CHECKER}')) t(path, hash_hex)""",
+    "frames_without_hashing": f"SELECT path, false AS has_preview, CAST(NULL AS BIGINT) AS hash FROM (VALUES {_TIFF}) t(path, make, model, capture_time, exposure_s, f_number, iso, focal_mm, orientation, width, height, aspect, crop_factor)",
     "error_labels": """SELECT * FROM (VALUES ('big_tiff.tif', 'bigtiff'), ('far_directory.cr2', 'ifd-gecersiz'), ('long_value.cr2', 'ifd-gecersiz'), ('many_entries.cr2', 'ifd-gecersiz'),
   ('not_tiff.cr2', 'tiff-bazli-degil'), ('short.cr2', 'tiff-bazli-degil')) t(path, error)""",
 }

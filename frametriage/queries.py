@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import phash, photo
 from .functions import score as scoring
 from .operators import export, report, similarity
-from .settings import Settings
+from .settings import Settings, from_mapping
 from .sources import frames, samples
 
 T = 18
@@ -70,10 +70,17 @@ def _scores() -> dict:
     return scoring.scores(_exposure(), c("focal_mm"), c("iso"), _aspect(), SETTINGS)
 
 
+def _score_struct():
+    return scoring.score_struct(_exposure(), c("focal_mm"), c("iso"), _aspect(), c("orientation"), F.lit(None).cast("double"), SETTINGS)
+
+
+def scored_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shots(spark, sf_dir).select("shot_id", "burst_id", "path", photo.file_name(c("path")).alias("file_name"), "file_size", "bytes_read", _score_struct().alias("score"))
+
+
 def shot_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shots as frames; those whose number is that of an embedding have its hash."""
-    score = scoring.score_struct(_exposure(), c("focal_mm"), c("iso"), _aspect(), c("orientation"), F.lit(None).cast("double"), SETTINGS)
-    own = shots(spark, sf_dir).select("shot_id", "burst_id", "path", photo.file_name(c("path")).alias("file_name"), "file_size", "bytes_read", score.alias("score"))
+    own = scored_shots(spark, sf_dir)
     hashes = _items(spark, sf_dir)
     return own.join(hashes, own.shot_id == hashes.item, "left").withColumn("has_preview", c("hash").isNotNull()).drop("item")
 
@@ -91,7 +98,7 @@ def dct_coefficients(spark, sf_dir):
 
 
 def hash_bits(spark, sf_dir):
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(c("hash"), 63 - i).cast("int"))
+    bits = F.array(*(phash.hash_bit(c("hash"), i).cast("int") for i in range(64)))
     own = _hashed(spark, sf_dir)
     return own.select("vec_id", F.posexplode(bits).alias("i", "bit")).where("bit = 1").select("vec_id", "i")
 
@@ -100,6 +107,12 @@ def hash_bands(spark, sf_dir):
     return _hashed(spark, sf_dir).select("vec_id", *(phash.band(c("hash"), k).alias(f"band{k}") for k in range(4)))
 
 
+def hash_from_hex(spark, sf_dir):
+    """From all digits, from the first seven, and from what is no number."""
+    text = phash.hash_hex(c("hash"))
+    return _hashed(spark, sf_dir).select("vec_id", phash.hash_from_hex(text).alias("hash"), phash.hash_from_hex(F.substring(text, 1, 7)).alias("high"), phash.hash_from_hex(F.concat(F.lit("x"), text)).alias("none"))
+
+
 def hamming_pairs_t18(spark, sf_dir):
     return similarity.similar_pairs(_items(spark, sf_dir), T)
 
@@ -116,7 +129,7 @@ def pair_counters_t18(spark, sf_dir):
 
 def hamming_histogram(spark, sf_dir):
     """Of similar pairs, by distance."""
-    return hamming_pairs_t18(spark, sf_dir).groupBy("distance").agg(F.count("*").alias("pairs"))
+    return similarity.pair_histogram(_items(spark, sf_dir), T)
 
 
 def _membership(spark, sf_dir):
@@ -131,6 +144,10 @@ def group_sizes_t18(spark, sf_dir):
     return _membership(spark, sf_dir).groupBy("group_id").agg(F.count("*").alias("size"))
 
 
+def group_count_t18(spark, sf_dir):
+    return _membership(spark, sf_dir).agg(F.countDistinct("group_id").alias("groups"))
+
+
 def group_conflicts_t18(spark, sf_dir):
     return similarity.conflicts(_membership(spark, sf_dir), T)
 
@@ -183,6 +200,40 @@ def exposure_rational(spark, sf_dir):
     return shots(spark, sf_dir).select("shot_id", F.round(photo.rational(c("exposure_num"), c("exposure_den")).cast("double"), 7).alias("exposure_s"))
 
 
+def exposure_alias(spark, sf_dir):
+    return shots(spark, sf_dir).select("shot_id", F.round(photo.exposure_value(_exposure()), 7).alias("exposure"))
+
+
+def saturated_width(spark, sf_dir):
+    return shots(spark, sf_dir).select("shot_id", photo.saturated(c("width") * 12).alias("width"))
+
+
+def clean_text(spark, sf_dir):
+    """Texts as cameras store them: with blanks around and zeros behind, or with nothing before the zeros."""
+    stored = F.when(c("o_orderkey") % 7 == 0, F.lit(" \0x")).otherwise(F.concat(F.lit(" \t"), "o_orderpriority", F.lit(" \0junk")))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", photo.clean_text(stored).alias("text"))
+
+
+def tag_lookup(spark, sf_dir):
+    """Line items as the entries of two directories, those returned as the Exif one."""
+    entries = lambda of: F.array_sort(F.collect_list(F.when(of, F.struct(c("l_linenumber").alias("tag"), "l_partkey"))))
+    own = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(entries(c("l_returnflag") == "R").alias("exif"), entries(c("l_returnflag") != "R").alias("main"))
+    exif, main = c("exif"), c("main")
+    return own.select("l_orderkey", photo.entry(main, 1)["l_partkey"].alias("first"), photo.entry_of(exif, main, [3, 2])["l_partkey"].alias("of_list"), photo.has_tag(exif, 1).alias("has_first"), F.array_join(photo.tags(main).cast("array<string>"), ",").alias("tags"))
+
+
+def component_by_name(spark, sf_dir):
+    part = lambda k: F.round(scoring.component(c("score"), scoring.NAMES[k])["score"], 4).alias(k)
+    return scored_shots(spark, sf_dir).select("shot_id", part("iso_balance"), part("crop"), scoring.component(c("score"), "none")["score"].alias("none"))
+
+
+def score_by_other_settings(spark, sf_dir):
+    """Two weights that do not add up to 1, and another aspect."""
+    own = from_mapping({"agirlik_keskinlik": 0, "agirlik_pozlama": 0.5, "agirlik_kirpma": 0, "agirlik_kompozisyon": 1.5, "agirlik_iso": 0, "hedef_en_boy": 1.25})
+    scores = scoring.scores(_exposure(), c("focal_mm"), c("iso"), _aspect(), own)
+    return shots(spark, sf_dir).select("shot_id", F.round(scoring.total(scores, own), 4).alias("total"), F.lit(own.weight_sum()).alias("weight_sum"))
+
+
 def score_components(spark, sf_dir):
     return shots(spark, sf_dir).select("shot_id", *(F.round(v, 4).alias(k) for k, v in _scores().items()))
 
@@ -200,7 +251,7 @@ def strongest_component(spark, sf_dir):
 
 
 def recommendation_per_group(spark, sf_dir):
-    own = shot_frames(spark, sf_dir).withColumn("score", c("score").withField("total", F.round("score.total", 4)))
+    own = scored_shots(spark, sf_dir).withColumn("score", c("score").withField("total", F.round("score.total", 4)))
     return report.recommend(own, "burst_id").select("burst_id", "path", c("score.total").alias("total"))
 
 
@@ -252,13 +303,19 @@ def tiff_decode(spark, sf_dir):
 
 
 def preview_locate(spark, sf_dir):
-    return frames.frames_of(_decoded(spark)).join(_decoded(spark).select("path", "preview_source"), "path").select("path", "has_preview", "preview_source")
+    return _decoded(spark).where("error is null").select("path", c("preview_bytes").isNotNull().alias("has_preview"), "preview_source")
 
 
 def jpeg_luma_hash(spark, sf_dir):
     return frames.frames_of(_decoded(spark)).where("hash is not null").select("path", phash.hash_hex(c("hash")).alias("hash_hex"))
 
 
+def frames_without_hashing(spark, sf_dir):
+    rows = list(samples.byte_samples().items())
+    own = frames.decode_files(spark.createDataFrame(rows, "path string, content binary"), hashing=False)
+    return frames.frames_of(own, hashing=False).select("path", "has_preview", "hash")
+
+
 def error_labels(spark, sf_dir):
     return frames.skipped_of(_decoded(spark)).select("path", "error")
 
@@ -268,12 +325,14 @@ QUERIES = [
     dct_coefficients,
     hash_bits,
     hash_bands,
+    hash_from_hex,
     hamming_pairs_t18,
     banded_pairs_t8,
     pair_counters_t18,
     hamming_histogram,
     similarity_groups_t18,
     group_sizes_t18,
+    group_count_t18,
     group_conflicts_t18,
     group_diameter_t18,
     conflicted_groups_t18,
@@ -285,6 +344,12 @@ QUERIES = [
     oriented_aspect,
     crop_factor,
     exposure_rational,
+    exposure_alias,
+    saturated_width,
+    clean_text,
+    tag_lookup,
+    component_by_name,
+    score_by_other_settings,
     score_components,
     score_total,
     strongest_component,
@@ -297,6 +362,7 @@ QUERIES = [
     tiff_decode,
     preview_locate,
     jpeg_luma_hash,
+    frames_without_hashing,
     error_labels,
 ]
 
