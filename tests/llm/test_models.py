@@ -193,6 +193,26 @@ def test_models_on_odd_rows(spark):
     assert {x.predicted for x in quality_scores(docs, fit_quality(docs, one)).collect()} == {1}
 
 
+def test_languages_match_plain_votes(spark):
+    r = random.Random(4)
+    lexicon = {lang: [f"{lang}{i}" for i in range(40)] for lang in ("de", "en", "fr", "es", "xx")}
+    shared = [f"w{i}" for i in range(60)]
+    text = lambda lang: " ".join(r.choices(lexicon[lang], k=6) + r.choices(shared, k=20))
+    rows = [(i, text(lang), lang) for i in range(60) for lang in lexicon]
+    docs = spark.createDataFrame([(k, t, lang) for k, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    fitted = fit_languages(docs)
+    model = fitted.value
+    assert model["families"] == ["germanic", "romance", "xx"] and model["pairs"] == [("de", "en"), ("es", "fr")]
+    for x in languages(docs, fitted).collect():
+        ids, share = document(rows[x.doc_id][1].lower())
+        dense = np.zeros(1 << 17)
+        dense[ids] = share
+        margin = dict(zip([*model["families"], *model["pairs"]], dense @ model["table"], strict=True))
+        best = max(model["families"], key=lambda f: margin[f])
+        want = best if best == "xx" else next(a if margin[a, b] >= 0 else b for a, b in model["pairs"] if a in {"germanic": ["de"], "romance": ["es"]}[best])
+        assert x.lang_pred == want
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = languages(docs, fit_languages(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred != 'und'").collect()
@@ -402,6 +422,18 @@ def test_pipeline_rejects_low_quality_that_passes_the_rules(spark, tmp_path):
     assert 10_000 in before and 10_000 not in after and len(good & after) > 0.97 * len(good)
 
 
+def test_the_sample_has_both_classes(spark):
+    from frametriage.llm.quality_classifier import id_fold, labelled_sample
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    known = labels.where(id_fold("doc_id", 3) != 1).join(docs.select("doc_id", quality_rules.F.octet_length("text").alias("n_bytes")).where("n_bytes is not null"), "doc_id").select("doc_id", "quality", "n_bytes")
+    for per_label, most in ((2000, 1 << 30), (20, 1 << 30), (2000, 200_000)):
+        sample = labelled_sample(docs.select("doc_id", "text"), known, "quality", per_label, most)
+        sizes = {y: [len(t.encode()) for t, own in sample if own == y] for y in (0, 1)}
+        assert all(0 < len(own) <= per_label and sum(own) <= most // 2 for own in sizes.values())
+        assert sample == labelled_sample(docs.select("doc_id", "text"), known.orderBy("n_bytes"), "quality", per_label, most)
+
+
 def test_classifier_chooses_among_rows_that_are_there(spark):
     docs = spark.createDataFrame([(i, None if i < 300 else "good words here" if i % 2 else "bad ### stuff") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
