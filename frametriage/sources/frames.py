@@ -22,6 +22,7 @@ from .. import errors, schemas
 from ..functions import photo
 from ..functions.phash import hash_of
 from ..functions.score import score_struct
+from ..operators.components import use_checkpoint_dir
 from ..settings import Settings
 from . import listing
 from .jpeg import JpegError, luma
@@ -119,15 +120,22 @@ def skipped_of(decoded: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, root: str, hashing: bool = True) -> DataFrame:
     """schemas.DECODED for all accepted files below root. Paths are dealt out evenly, so that no task waits for one large folder."""
-    files = listing.files_of(listing.list_tree(spark, root))
+    use_checkpoint_dir(spark)
+    files = listing.files_of(listing.list_tree(spark, root)).checkpoint()  # the tree is walked once
     tasks = max(1, min(spark.sparkContext.defaultParallelism * 8, -(-files.count() // FILES_A_TASK)))
     return decode_files(files.repartition(tasks), hashing)
 
 
 class _Paths(InputPartition):
-    def __init__(self, paths: list[str]):
+    """Files, or a folder of which all files below are read."""
+
+    def __init__(self, paths: list[str], below: str | None = None):
         super().__init__(paths)
-        self.paths = paths
+        self.paths, self.below = paths, below
+
+
+def _files(rows: list[tuple[str, str, str | None]]) -> list[str]:
+    return [path for kind, path, _ in rows if kind == listing.FILE]
 
 
 class _Reader(DataSourceReader):
@@ -136,13 +144,22 @@ class _Reader(DataSourceReader):
         self.hashing = str(options.get("hashing", "true")).lower() == "true"
 
     def partitions(self):
+        """The first folders are listed here, the folders below them by the tasks."""
         if not os.path.isdir(self.root):
             raise errors.TriageError(errors.SCAN_PATH, self.root, "not a directory")
-        files = [path for kind, path, _ in listing.walk([self.root])[0] if kind == listing.FILE]
-        return [_Paths(files[i : i + FILES_A_TASK]) for i in range(0, len(files), FILES_A_TASK)] or [_Paths([])]
+        rows, ahead = listing.walk([self.root], listing.FRONT)
+        files = _files(rows)
+        near = [_Paths(files[i : i + FILES_A_TASK]) for i in range(0, len(files), FILES_A_TASK)]
+        return near + [_Paths([], folder) for folder in ahead] or [_Paths([])]
 
     def read(self, partition):
         yield to_batch([decode(p, None, self.hashing) for p in partition.paths])
+        ahead = [partition.below] if partition.below else []
+        while ahead:
+            rows, folders = listing.one_directory(ahead.pop())
+            ahead += folders
+            if files := _files(rows):
+                yield to_batch([decode(p, None, self.hashing) for p in files])
 
 
 class FrameFiles(DataSource):

@@ -212,6 +212,14 @@ def test_data_source(spark, tmp_path):
     spark.dataSource.register(frames.FrameFiles)
     own = spark.read.format("frames").option("path", str(tmp_path / "d")).load()
     assert own.count() == 4 and own.where("hash is not null").count() == 3
+    before, listing.FRONT = listing.FRONT, 1
+    try:
+        samples.demo_folder(str(tmp_path / "d" / "e" / "f"), 3, 4096)
+        reader = frames._Reader({"path": str(tmp_path)})
+        found = [row["path"] for p in reader.partitions() for batch in reader.read(p) for row in batch.to_pylist()]
+        assert len(found) == len(set(found)) == 8
+    finally:
+        listing.FRONT = before
 
 
 def test_stream(spark, tmp_path):
