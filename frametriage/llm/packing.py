@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, held, row_numbers, single_threaded, texts_of
+from .common import byte_alphabet, cut, held, row_numbers, single_threaded, texts_of
 
 
 #: Pre-tokens may be this long where the fast encoder is used, whose time grows with the square of their length.
@@ -30,13 +30,6 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPLIT_SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The bytes by the characters that stand for them in byte-level files: printable Latin-1 ones for themselves, the rest from 256 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ByteTokens:
     """Ids of the byte-level tokenizer file, with nothing remembered between texts.
 

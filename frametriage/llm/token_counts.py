@@ -14,14 +14,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_WORD, MEMO_BYTES, cut, held, row_numbers, single_threaded, texts_of
+from .common import byte_alphabet, cut, held, row_numbers, single_threaded
 
-#: Entries of counters that are kept before they are handed on.
+#: Entries of a counter that are kept before they are handed on.
 ENTRIES = 400_000
+#: Bytes of text that are taken apart at a time, or one text.
+PART_BYTES = 8_000_000
 #: What the tokenizer file says on normalization and splitting.
 FILE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -47,6 +51,10 @@ class PreTokenizer:
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
         #: The split pattern on lower-case printable ASCII, where letters are a-z and bytes stand for themselves.
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+        #: Printable Latin characters that normalization only changes to lower case, each by itself.
+        self.latin = re.compile(r"[!-~¡-¬®-įı-ɏ]+").fullmatch
+        self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|[\W_]+").findall
+        self.letters = str.maketrans({chr(b): c for c, b in byte_alphabet().items()})
 
     def unit(self, unit: str) -> list[str]:
         """Pre-tokens of a text between blanks."""
@@ -60,7 +68,10 @@ class PreTokenizer:
 
     def plain(self, unit: str) -> list[str]:
         if unit.isascii() and unit.isprintable() and " " not in unit:
-            return self.ascii(unit.lower())
+            unit = unit.lower()
+            return [unit] if unit.isalpha() else self.ascii(unit)
+        if self.latin(unit):
+            return [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in self.split(unit.lower())]
         unit = self.tokenizer.normalizer.normalize_str(unit)
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(unit)]
 
@@ -77,31 +88,34 @@ def units(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str]]]:
+    """Rows of the batch with some MB of text, where each row's units begin, all units as numbers, and the distinct units."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()) // PART_BYTES
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    for at, end in zip(starts, [*starts[1:], len(batch)], strict=False):
+        rows = batch.slice(at, end - at)
+        own = pc.split_pattern(pc.replace_substring(pc.fill_null(rows.column("text"), ""), "\n", " "), " ")
+        found = own.flatten().dictionary_encode()
+        yield rows, np.cumsum([0, *pc.list_value_length(own).to_numpy()[:-1]]), found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
 def _vocabulary(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    split, counts, seen = pretokenizer(path).unit, Counter(), Counter()
+    split, counts = pretokenizer(path).unit, Counter()
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"pretoken": list(counts), "n": list(counts.values())})
+        return pa.RecordBatch.from_pydict({"pretoken": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     for batch in batches:
-        for text in texts_of(batch):
-            seen.update(units(text))
-            if len(seen) > ENTRIES:
-                _count(seen, split, counts)
-                if len(counts) > ENTRIES:
-                    yield rows()
-                    counts.clear()
-    _count(seen, split, counts)
+        for _, _, at, distinct in _parts(batch):
+            for unit, n in zip(distinct, np.bincount(at).tolist(), strict=True):
+                for p in split(unit):
+                    counts[p] += n
+            if len(counts) > ENTRIES:
+                yield rows()
+                counts.clear()
     yield rows()
 
 
-def _count(seen: Counter, split, counts: Counter) -> None:
-    for unit, n in seen.items():
-        for p in split(unit):
-            counts[p] += n
-    seen.clear()
-
-
 def _pieces(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pieces = pretokenizer(path).pieces
     for batch in batches:
@@ -110,43 +124,39 @@ def _pieces(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def _frequencies(path: str, hot, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document with the pieces of its hot pre-tokens, one for each other pre-token in it."""
-    split, hot, ids, known = pretokenizer(path).unit, hot.value, row_numbers(), {}
-
-    def look(unit: str):
-        own = split(unit)
-        rest = [p for p in own if p not in hot]
-        known_pieces = sum(hot[p] for p in own if p in hot)
-        v = (known_pieces, rest) if rest else known_pieces
-        if len(unit) < LONG_WORD:
-            if 250 * len(known) >= 2 * MEMO_BYTES:
-                known.clear()
-            known[unit] = v
-        return v
-
+    split, hot, ids = pretokenizer(path).unit, hot.value, row_numbers()
     for batch in batches:
-        row, key, doc, size, base, freq = [], [], [], [], [], []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(key, pa.string()), pa.array(doc, pa.int64()), pa.array(size, pa.int64()), pa.array(base, pa.int64()), pa.array(freq, pa.int64())], ["row", "pretoken", "doc_id", "n_bytes", "base", "n"])
-
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-            k, total, rest = next(ids), 0, []
-            for unit in units(text):
-                v = known.get(unit)
-                if v is None:
-                    v = look(unit)
-                if v.__class__ is int:
-                    total += v
-                else:
-                    total += v[0]
-                    rest += v[1]
-            row.append(k), key.append(f"\x01{k}"), doc.append(doc_id), size.append(len(text.encode())), base.append(total), freq.append(0)
-            for p, n in Counter(rest).items():
-                row.append(k), key.append(p), doc.append(None), size.append(None), base.append(0), freq.append(n)
-            if len(row) > 100_000:
-                yield out()
-                row, key, doc, size, base, freq = [], [], [], [], [], []
-        yield out()
+        for rows, starts, at, distinct in _parts(batch):
+            base, others, begins, cold = np.zeros(len(distinct), np.int64), [], [0], {}
+            for k, unit in enumerate(distinct):
+                for p in split(unit):
+                    if (n := hot.get(p)) is not None:
+                        base[k] += n
+                    else:
+                        others.append(cold.setdefault(p, len(cold)))
+                begins.append(len(others))
+            # Each unit's other pre-tokens, for each time that it occurs; then counted for each document.
+            begins, others = np.array(begins), np.array(others, np.int64)
+            sizes = np.diff(begins)
+            doc = np.repeat(np.arange(len(rows)), np.diff(starts, append=len(at)))
+            some = np.flatnonzero(sizes[at])
+            times = sizes[at[some]]
+            inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            other = others[np.repeat(begins[at[some]], times) + inner]
+            key, n = np.unique(np.repeat(doc[some], times) * max(len(cold), 1) + other, return_counts=True)
+            own = np.fromiter(ids, np.int64, len(rows))
+            none = pa.nulls(len(key), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([own, own[key // max(len(cold), 1)]])),
+                    pa.concat_arrays([pa.array([f"\x01{k}" for k in own.tolist()], pa.string()), pa.array(list(cold), pa.string()).take(pa.array(key % max(len(cold), 1)))]),
+                    pa.concat_arrays([rows.column("doc_id"), none]),
+                    pa.concat_arrays([pc.fill_null(pc.binary_length(rows.column("text")), 0).cast(pa.int64()), none]),
+                    pa.array(np.concatenate([np.add.reduceat(base[at], starts), np.zeros(len(key), np.int64)])),
+                    pa.array(np.concatenate([np.zeros(len(rows), np.int64), n])),
+                ],
+                ["row", "pretoken", "doc_id", "n_bytes", "base", "n"],
+            )
 
 
 def pretoken_pieces(docs: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
