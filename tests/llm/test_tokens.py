@@ -40,6 +40,17 @@ def test_empty_tables(spark):
 MIX = st.text(st.one_of(st.sampled_from("abeinst THE'.<|>\n ▁é日½12"), st.characters(exclude_categories=["Cs"])), max_size=60)
 
 
+LATIN = st.text(st.one_of(st.sampled_from("aé'ß½²ªº0ŉİıſ.\xad\xa0 sS"), st.characters(min_codepoint=0x21, max_codepoint=0x260), st.just("\u0301")), max_size=12)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(LATIN)
+def test_latin_units_split_as_in_the_library(text):
+    p = pretokenizer(WORD)
+    want = [x for x, _ in p.tokenizer.pre_tokenizer.pre_tokenize_str(p.tokenizer.normalizer.normalize_str(text))]
+    assert [x for u in units(text) for x in p.plain(u)] == want
+
+
 @settings(max_examples=400, deadline=None)
 @given(MIX)
 def test_units_match_library(text):
