@@ -2,7 +2,7 @@
 
 The pieces of a pre-token do not depend on its document, so each distinct pre-token is segmented once. A document's
 count is the sum over its pre-tokens of frequency times pieces: a join of two tables and a sum. Frequent pre-tokens
-(the `hot` most frequent ones, a bounded table) are added up where the text is read; the others are joined by shuffle.
+(at most `hot` of the most frequent ones, a bounded table) are added up where the text is read; the others are joined by shuffle.
 So no key of the shuffled join is frequent, and most of the frequencies never leave their task.
 """
 
@@ -166,6 +166,19 @@ def pretoken_pieces(docs: DataFrame, path: str, *, text_col: str = "text") -> Da
     return counts.mapInArrow(functools.partial(_pieces, path), "pretoken string, n long, pieces int")
 
 
+def _least_frequency(pieces: DataFrame, most: int) -> int:
+    """A frequency that at most so many pre-tokens have or pass. From a histogram, so that no task gathers the candidates of all others."""
+    eighth = F.floor(F.log2("n") * 8)
+    counts = pieces.groupBy(eighth.alias("b")).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect()
+    total, least = 0, 1 << 62
+    for r in sorted(counts, key=lambda r: -r["b"]):
+        total += r["k"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
+
+
 def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, hot: int = 131_072) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs.
 
@@ -175,7 +188,7 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     pieces = cut(pretoken_pieces(docs, path, text_col=text_col))
-    top = pieces.orderBy(F.desc("n"), "pretoken").limit(hot).select("pretoken", "pieces").toArrow()
+    top = pieces.where(F.col("n") >= _least_frequency(pieces, hot)).select("pretoken", "pieces").toArrow()
     table = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(functools.partial(_frequencies, path, table), "row long, pretoken string, doc_id long, n_bytes long, base long, n long")
     # A document's own row has a key that no pre-token has, so that one shuffle serves both kinds of rows.
