@@ -51,6 +51,13 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
             yield text or ""
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for what is made of each to be small too."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 _HELD: dict = {}
 
 

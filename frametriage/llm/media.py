@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_back, unused
-from .common import texts_of
+from .common import slices, texts_of
 
 WIDTH = 64
 SCHEME = "media:sha256:"
@@ -159,7 +159,7 @@ def parse_page(page: str | None) -> list[dict]:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(parse_page, batch.column(1).to_pylist()), pa.list_(ITEM))], [batch.schema.names[0], "items"])
 
 
@@ -170,7 +170,7 @@ def page_sequences(pages: DataFrame, *, id_col: str = "page_id", html_col: str =
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         payloads = [payload_of(t) for t in texts_of(batch)]
         yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array(map(to_png, payloads), pa.binary())], ["digest", "media"])
 
@@ -186,7 +186,7 @@ def media_store(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for media in batch.column("media").to_pylist():
             samples = from_png(media)
@@ -229,7 +229,7 @@ def reassemble(resolved: DataFrame, *columns: str) -> DataFrame:
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         pages, sizes = [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
             digest = hashlib.sha256(payload_of(text)).hexdigest()
@@ -252,7 +252,7 @@ def document_sequences(docs: DataFrame) -> DataFrame:
     """page_id (doc_id), n_bytes, items: the document's page as an interleaved sequence, for each row of docs."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(map(parse_page, batch.column("html").to_pylist()), pa.list_(ITEM))], ["page_id", "n_bytes", "items"])
 
     return document_pages(docs).mapInArrow(parsed, f"page_id long, n_bytes long, items array<{ITEM_DDL}>")
