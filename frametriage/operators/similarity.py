@@ -5,8 +5,12 @@ items: item (its place in scan order, distinct) and hash. A pair is similar if i
 
 from __future__ import annotations
 
+import functools
 import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +21,13 @@ from .skew import join_back
 #: Distinct hashes that are broadcast at most (16 bytes each); more go through bands or blocks.
 BROADCAST_ROWS = 20_000
 #: Rows of a block of the grid join, and of the grid of a group.
-BLOCK_ROWS = 20_000
-GROUP_ROWS = 1_000
+BLOCK_ROWS = 8_192
+GROUP_ROWS = 8_192
+#: Pairs of two blocks that are compared at a time, and rows that are returned at a time at least.
+CELLS = 1 << 17
+RETURNED_ROWS = 1 << 16
+#: Pairs that blocks compare in the time of one candidate of the bands.
+PAIRS_A_CANDIDATE = 30
 
 
 def _threshold(t: int) -> int:
@@ -51,39 +60,98 @@ def _banded(left: DataFrame, t: int) -> DataFrame:
     bands, errors = band_plan(t)
     one = left.select(F.col("hash").alias("a"), F.explode(band_keys(F.col("hash"), bands, 0)).alias("k")).select("a", "k.*")
     near = left.select(F.col("hash").alias("b"), F.explode(band_keys(F.col("hash"), bands, errors)).alias("k")).select("b", "k.*")
-    return one.join(near, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= t)).select("a", "b").distinct()
+    joined = one.join(near.hint("merge"), ["band", "value"])
+    return joined.where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= t)).select("a", "b").distinct()
 
 
-def _triangle(dealt: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, a < b: all pairs of the distinct hashes of equal keys. Each row goes to the tasks of its row and column of a triangular grid.
+def band_candidates(left: DataFrame, t: int) -> int:
+    """A bound on the rows that _banded makes: its near keys, and for each of a value's masks at most the sum of squares of the values' counts."""
+    bands, errors = band_plan(t)
+    counts = left.select(F.explode(band_keys(F.col("hash"), bands, 0)).alias("k")).groupBy("k").agg(F.count("*").cast("double").alias("n"))
+    masks = F.lit(float(sum(1 for k in range(errors + 1) for _ in itertools.combinations(range(64 // bands), k))))
+    return int(counts.agg(F.coalesce(F.sum(masks * (F.col("n") + F.col("n") * F.col("n"))), F.lit(0.0))).first()[0])
 
-    dealt: keys, hash, side (of the keys' grid) and block (under side).
+
+def _paired(dealt: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """keys, pair: the rows of two blocks, or of one with itself, of equal keys. Each block goes to the tasks of its row and column of a triangular grid.
+
+    dealt: keys, values, side (of the keys' grid) and block (under side). The number of tasks is fixed, since a few MB can stand for many pairs.
     """
+    spark, block = dealt.sparkSession, F.col("block")
     last = (F.col("side") - 1).cast("long")
-    rows = dealt.select(*keys, F.col("hash").alias("a"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), last)).alias("j"))
-    columns = dealt.select(*keys, F.col("hash").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"))
-    once = (F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))
-    return rows.join(columns, [*keys, "i", "j"]).where(once).select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    blocks = dealt.groupBy(*keys, "side", "block").agg(F.collect_list(F.struct(*values)).alias("rows"))
+    row = F.transform(F.sequence(block, last), lambda j: F.struct(block.alias("i"), j.alias("j")))
+    column = F.transform(F.sequence(F.lit(0).cast("long"), block), lambda i: F.struct(i.alias("i"), block.alias("j")))
+    placed = blocks.select(*keys, F.explode(F.array_union(row, column)).alias("at"), "rows").select(*keys, "at.*", "rows")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    met = placed.repartition(tasks, *keys, "i", "j").groupBy(*keys, "i", "j").agg(F.collect_list("rows").alias("pair"))
+    return met.where("i = j OR size(pair) = 2").select(*keys, "pair")  # a block may have no rows
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch], *values: str) -> Iterator[tuple]:
+    """The keys, the values' arrays of one block and of the other, and whether they are the same block."""
+    for batch in batches:
+        keys, pairs = batch.columns[:-1], batch.columns[-1]
+        for k in range(len(batch)):
+            blocks = [x.values for x in pairs[k].values]
+            sides = [[b.field(v).to_numpy(zero_copy_only=False) for v in values] for b in blocks]
+            yield [c[k].as_py() for c in keys], sides[0], sides[-1], len(sides) == 1
+
+
+def _distances(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First rows of x and of y, and distances of some rows of x to all of y from there on. With the same block, pairs under the diagonal come twice."""
+    x, y = x.view(np.uint64), y.view(np.uint64)
+    step = max(1, CELLS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        start = at if same else 0
+        yield at, start, np.bitwise_count(x[at : at + step, None] ^ y[start:])
+
+
+def _chosen(x: np.ndarray, y: np.ndarray, same: bool, test: Callable) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in x and in y of the pairs whose distance passes the test, each pair once, and the distances."""
+    for at, start, d in _distances(x, y, same):
+        found = np.flatnonzero(test(d))
+        i, j = np.divmod(found, d.shape[1])
+        if same:
+            once = j > i
+            found, i, j = found[once], i[once], j[once]
+        if len(found):
+            yield at + i, start + j, d.ravel()[found]
+
+
+def _near_pairs(t: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made() -> pa.RecordBatch:
+        a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    held, n = [], 0
+    for _, (x,), (y,), same in _pairs_of(batches, "hash"):
+        for i, j, _ in _chosen(x, y, same, lambda d: d <= t):
+            held.append((x[i], y[j]))
+            n += len(i)
+            if n >= RETURNED_ROWS:
+                yield made()
+                held, n = [], 0
+    if held:
+        yield made()
 
 
 def _grid(left: DataFrame, n: int, t: int) -> DataFrame:
     """Similar pairs among all pairs of hashes, in blocks."""
     side = F.lit(-(-n // BLOCK_ROWS)).cast("long")
     dealt = left.select("hash", side.alias("side"), F.pmod(F.xxhash64("hash"), side).alias("block"))
-    return _triangle(dealt, []).where(hamming(F.col("a"), F.col("b")) <= t)
+    return _paired(dealt, [], "hash").mapInArrow(functools.partial(_near_pairs, t), "a long, b long")
 
 
 def hash_pairs(hashes: DataFrame, t: int) -> DataFrame:
-    """a < b: similar pairs of the distinct values of the column hash. Always exact; the size picks the way."""
+    """a < b: similar pairs of the distinct values of the column hash. Always exact; the size, and for bands how often their values repeat, pick the way."""
     t = _threshold(t)
-    distinct = hashes.select("hash").where("hash is not null").distinct()
-    if band_plan(t)[0]:
-        return _banded(distinct, t)
     use_checkpoint_dir(hashes.sparkSession)
-    distinct = distinct.checkpoint()
+    distinct = hashes.select("hash").where("hash is not null").distinct().checkpoint()
     n = distinct.count()
     if n > BROADCAST_ROWS:
-        return _grid(distinct, n, t)
+        banded = band_plan(t)[0] and band_candidates(distinct, t) * PAIRS_A_CANDIDATE < n * (n - 1) // 2
+        return _banded(distinct, t) if banded else _grid(distinct, n, t)
     a, b = F.col("a"), F.col("b")
     right = F.broadcast(distinct.withColumnRenamed("hash", "b"))
     return distinct.withColumnRenamed("hash", "a").join(right, (a < b) & (hamming(a, b) <= t))
@@ -148,6 +216,18 @@ def groups(items: DataFrame, t: int) -> DataFrame:
     return hashed.join(classes.select("hash", "root").join(named, "root").select("hash", "group_id"), "hash").select("item", "hash", "group_id")
 
 
+def _triangle(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a < b: all pairs of the distinct hashes of equal keys. Each row goes to the tasks of its row and column of a triangular grid.
+
+    dealt: keys, hash, side (of the keys' grid) and block (under side).
+    """
+    last = (F.col("side") - 1).cast("long")
+    rows = dealt.select(*keys, F.col("hash").alias("a"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), last)).alias("j"))
+    columns = dealt.select(*keys, F.col("hash").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"))
+    once = (F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))
+    return rows.join(columns, [*keys, "i", "j"]).where(once).select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _inner_pairs(membership: DataFrame) -> DataFrame:
     """group_id, a < b: pairs of distinct hashes in one group. A large group's are dealt over a grid of its own."""
     own = membership.select("group_id", "hash").distinct()

@@ -213,3 +213,36 @@ def test_dense_numbers(spark):
     df = spark.createDataFrame([(f"{i * 7919 % 1000:04}",) for i in range(1000)] + [("0005",)], "k string")
     got = similarity.dense_numbers(df, "k", "n").collect()
     assert [r.n for r in sorted(got)] == list(range(1000))
+
+
+@pytest.mark.parametrize("t", [0, 3, 4, 8, 11])
+def test_bands_and_their_bound(spark, t):
+    r = random.Random(t)
+    own = [r.getrandbits(63) for _ in range(30)]
+    own += [h ^ sum(1 << i for i in r.sample(range(63), t)) for h in own]
+    distinct = items(spark, sorted(set(own))).select("hash")
+    far = lambda a, b: (a ^ b).bit_count()
+    got = sorted(tuple(x) for x in similarity._banded(distinct, t).collect())
+    assert got == [(a, b) for a, b in sorted((min(a, b), max(a, b)) for a in set(own) for b in set(own) if a < b) if far(a, b) <= t]
+    bands, errors = similarity.band_plan(t)
+    parts = lambda h: [h >> 64 * k // bands & (1 << 64 // bands) - 1 for k in range(bands)]
+    candidates = sum(far(x, y) <= errors for a in set(own) for b in set(own) for x, y in zip(parts(a), parts(b), strict=True))
+    assert similarity.band_candidates(distinct, t) >= candidates
+
+
+def test_unselective_bands_go_by_blocks(spark, monkeypatch):
+    """Half of the bits are always 0, as in banded_pairs_t8: no band is made, and the pairs are all there."""
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(similarity, "_banded", None)
+    r = random.Random(8)
+    own = sorted({r.getrandbits(64) & 0x00FF00FF00FF00FF for _ in range(1000)})
+    got = sorted(tuple(x) for x in similarity.hash_pairs(items(spark, own), 8).collect())
+    assert got == [(a, b) for i, a in enumerate(own) for b in own[i + 1 :] if (a ^ b).bit_count() <= 8] and got
+
+
+def test_selective_bands_stay(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BROADCAST_ROWS", 100)
+    monkeypatch.setattr(similarity, "_grid", None)
+    own = [7**22 * i % 2**63 for i in range(1, 500)]
+    assert similarity.hash_pairs(items(spark, own + [own[0] ^ 5]), 3).count() == 1
