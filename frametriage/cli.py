@@ -25,7 +25,7 @@ def group(own: argparse.Namespace) -> None:
     found = triage.scan(session(), own.root, hashing=not own.hash_yok)
     s = found.statistics().first()
     membership = triage.group(found, own.esik)
-    far = similarity.conflicts(membership, own.esik)
+    far = similarity.conflicted(membership, own.esik)
     lines = {
         "root": own.root,
         "threshold": own.esik,

@@ -228,6 +228,23 @@ def _triangle(dealt: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(columns, [*keys, "i", "j"]).where(once).select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _inner_blocks(own: DataFrame, *values: str) -> DataFrame:
+    """group_id, pair: blocks of the rows of each group that has two or more. A large group's are dealt over a grid of its own."""
+    sides = own.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id", F.ceil(F.col("n") / GROUP_ROWS).alias("side"))
+    dealt = join_back(own, sides, ["group_id"]).withColumn("block", F.pmod(F.xxhash64(values[-1]), F.col("side")))
+    return _paired(dealt, ["group_id"], *values)
+
+
+def _far(t: int, x: np.ndarray, y: np.ndarray) -> bool:
+    return any(d.max(initial=0) > t for _, _, d in _distances(x, y, False))
+
+
+def _far_groups(t: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (group,), (x,), (y,), _ in _pairs_of(batches, "hash"):
+        if _far(t, x, y):
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64())], ["group_id"])
+
+
 def _inner_pairs(membership: DataFrame) -> DataFrame:
     """group_id, a < b: pairs of distinct hashes in one group. A large group's are dealt over a grid of its own."""
     own = membership.select("group_id", "hash").distinct()
@@ -246,6 +263,15 @@ def conflicts(membership: DataFrame, t: int) -> DataFrame:
     return found.select("group_id", F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"), "distance", F.lit(t).alias("threshold"))
 
 
+def _inner_hashes(membership: DataFrame) -> DataFrame:
+    return _inner_blocks(membership.select(F.col("group_id").cast("long").alias("group_id"), "hash").distinct(), "hash")
+
+
+def conflicted(membership: DataFrame, t: int) -> DataFrame:
+    """group_id of the groups with a conflict, without making the conflicts; two blocks are compared until there is one."""
+    return _inner_hashes(membership).mapInArrow(functools.partial(_far_groups, _threshold(t)), "group_id long").distinct()
+
+
 def diameters(membership: DataFrame) -> DataFrame:
     """group_id, diameter: the largest distance in each group, 0 for one of a single hash. A group is conflicted if it is over the threshold."""
     most = _inner_pairs(membership).groupBy("group_id").agg(F.max(hamming(F.col("a"), F.col("b"))).alias("most"))
@@ -253,6 +279,7 @@ def diameters(membership: DataFrame) -> DataFrame:
 
 
 def conflicted_groups(found: DataFrame) -> DataFrame:
+    """Their number, from a table with the group_id of each."""
     return found.agg(F.countDistinct("group_id").alias("conflicted_groups"))
 
 

@@ -246,3 +246,13 @@ def test_selective_bands_stay(spark, monkeypatch):
     monkeypatch.setattr(similarity, "_grid", None)
     own = [7**22 * i % 2**63 for i in range(1, 500)]
     assert similarity.hash_pairs(items(spark, own + [own[0] ^ 5]), 3).count() == 1
+
+
+@pytest.mark.parametrize("rows", [3, 8192])
+def test_conflicted_without_conflicts(spark, monkeypatch, rows):
+    """The groups with a conflict, without the pairs being made."""
+    monkeypatch.setattr(similarity, "GROUP_ROWS", rows)
+    monkeypatch.setattr(similarity, "conflicts", None)
+    own = [(i, h, g) for i, (h, g) in enumerate([(h, 0) for h in range(16)] + [(0, 1), (-1, 1), (0, 1), (5, 2), (5, 2), (9, 3)])]
+    df = spark.createDataFrame(own, "item long, hash long, group_id long")
+    assert [[x.group_id for x in similarity.conflicted(df, t).orderBy("group_id").collect()] for t in (3, 4, 63, 64, 70)] == [[0, 1], [1], [1], [], []]
