@@ -245,6 +245,12 @@ def _far_groups(t: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64())], ["group_id"])
 
 
+def _most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (group,), (x,), (y,), same in _pairs_of(batches, "hash"):
+        most = max(int(d.max(initial=0)) for _, _, d in _distances(x, y, same))
+        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([most], pa.int32())], ["group_id", "most"])
+
+
 def _inner_pairs(membership: DataFrame) -> DataFrame:
     """group_id, a < b: pairs of distinct hashes in one group. A large group's are dealt over a grid of its own."""
     own = membership.select("group_id", "hash").distinct()
@@ -274,7 +280,7 @@ def conflicted(membership: DataFrame, t: int) -> DataFrame:
 
 def diameters(membership: DataFrame) -> DataFrame:
     """group_id, diameter: the largest distance in each group, 0 for one of a single hash. A group is conflicted if it is over the threshold."""
-    most = _inner_pairs(membership).groupBy("group_id").agg(F.max(hamming(F.col("a"), F.col("b"))).alias("most"))
+    most = _inner_hashes(membership).mapInArrow(_most, "group_id long, most int").groupBy("group_id").agg(F.max("most").alias("most"))
     return membership.select("group_id").distinct().join(most, "group_id", "left").select("group_id", F.coalesce("most", F.lit(0)).alias("diameter"))
 
 

@@ -248,6 +248,15 @@ def test_selective_bands_stay(spark, monkeypatch):
     assert similarity.hash_pairs(items(spark, own + [own[0] ^ 5]), 3).count() == 1
 
 
+@pytest.mark.parametrize("rows", [3, 8192])
+def test_diameters_of_negative_and_equal_hashes(spark, monkeypatch, rows):
+    monkeypatch.setattr(similarity, "GROUP_ROWS", rows)
+    own = spark.createDataFrame([(0, -1, 5), (1, 0, 5), (2, 0, 5), (3, -1, 5), (4, 9, 6), (5, 9, 6), (6, 1, 7), (7, 2, 7), (8, -(2**63), 7)], "item long, hash long, group_id long")
+    assert {x.group_id: x.diameter for x in similarity.diameters(own).collect()} == {5: 64, 6: 0, 7: 2}
+    assert similarity.diameters(own.where("false")).count() == 0
+    assert "MapInArrow" in similarity.diameters(own)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("rows", [3, 8192])
 def test_conflicted_without_conflicts(spark, monkeypatch, rows):
     """The groups with a conflict, without the pairs being made."""
