@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import errors
@@ -51,23 +51,48 @@ def rationale(file_name: Column, score: Column) -> Column:
     return F.concat(file_name, F.lit(": toplam "), F.format_string("%.1f", score["total"]), F.lit(" puan ("), F.array_join(parts, ", "), F.lit(")"))
 
 
+def _placed(frames: DataFrame) -> DataFrame:
+    """Adds item, the frame's place in order of path, and alone, its place among those without hash. Frames of equal paths have a place each."""
+    similarity.use_checkpoint_dir(frames.sparkSession)
+    spread = frames.repartitionByRange("path", "hash").withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = spread.groupBy("_part").agg(F.count("*").alias("n"), F.count_if(F.col("hash").isNull()).alias("k"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("n", "k")))
+    so_far = Window.partitionBy("_part").orderBy("path", "hash").rowsBetween(Window.unboundedPreceding, 0)
+    own = spread.withColumn("item", F.count("*").over(so_far)).withColumn("alone", F.count_if(F.col("hash").isNull()).over(so_far))
+    places = own.join(F.broadcast(shifts), "_part")
+    return places.withColumn("item", F.col("item") + F.col("_n") - 1).withColumn("alone", F.when(F.col("hash").isNull(), F.col("alone") + F.col("_k") - 1)).drop("_part", "_n", "_k")
+
+
+def _groups_of(placed: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
+    """item, hash, group_id of the frames with a hash; item, group_id of the others, each a group of one, numbered on in order of path."""
+    membership = similarity.groups(placed.where("hash is not null").select("item", "hash"), t).checkpoint()
+    numbered = membership.agg(F.coalesce(F.max("group_id") + 1, F.lit(0)).alias("n")).first()["n"]
+    return membership, placed.where("hash is null").select("item", (F.col("alone") + numbered).alias("group_id"))
+
+
+def _facts(groups: DataFrame, t: int) -> DataFrame:
+    return groups.withColumn("conflicted", F.col("diameter") > min(t, 64))
+
+
 def grouped(frames: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
     """Frames with group_id, and the groups' diameter and conflicted.
 
     Frames with a hash are grouped; the others follow as groups of one, numbered on in order of path.
     """
-    similarity.use_checkpoint_dir(frames.sparkSession)
-    places = similarity.dense_numbers(frames, "path", "item")
-    items = frames.select("path", "hash").join(places, "path").select("item", "hash")
-    with_hash = items.where("hash is not null")
-    membership = similarity.groups(with_hash, t).checkpoint()
-    numbered = membership.agg(F.coalesce(F.max("group_id") + 1, F.lit(0)).alias("n")).first()["n"]
-    rest = items.where("hash is null").select("item")
-    alone = similarity.dense_numbers(rest, "item", "k").select("item", (F.col("k") + numbered).alias("group_id"))
+    placed = _placed(frames)
+    membership, alone = _groups_of(placed, t)
     of = membership.select("item", "group_id").unionByName(alone)
     facts = similarity.diameters(membership).unionByName(alone.select("group_id", F.lit(0).alias("diameter")))
-    members = frames.join(places, "path").join(of, "item")
-    return members, facts.select("group_id", "diameter", (F.col("diameter") > min(t, 64)).alias("conflicted"))
+    return placed.drop("alone").join(of, "item"), _facts(facts, t)
+
+
+def group_facts(frames: DataFrame, t: int) -> DataFrame:
+    """group_id, n_members, diameter, conflicted of the report's groups, from paths and hashes alone; no group's members are gathered."""
+    membership, alone = _groups_of(_placed(frames.select("path", "hash")), t)
+    sizes = membership.groupBy("group_id").agg(F.count("*").cast("int").alias("n_members"))
+    hashed = sizes.join(similarity.diameters(membership), "group_id")
+    return _facts(hashed.unionByName(alone.select("group_id", F.lit(1).alias("n_members"), F.lit(0).alias("diameter"))), t)
 
 
 def report_groups(frames: DataFrame, t: int) -> DataFrame:

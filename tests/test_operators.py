@@ -265,3 +265,17 @@ def test_conflicted_without_conflicts(spark, monkeypatch, rows):
     own = [(i, h, g) for i, (h, g) in enumerate([(h, 0) for h in range(16)] + [(0, 1), (-1, 1), (0, 1), (5, 2), (5, 2), (9, 3)])]
     df = spark.createDataFrame(own, "item long, hash long, group_id long")
     assert [[x.group_id for x in similarity.conflicted(df, t).orderBy("group_id").collect()] for t in (3, 4, 63, 64, 70)] == [[0, 1], [1], [1], [], []]
+
+
+def test_group_facts_are_those_of_the_report(spark, monkeypatch):
+    """Also where paths repeat: each frame has a place of its own. No members are gathered."""
+    parts = ", ".join(f"named_struct('name', '{n}', 'score', 1.0D, 'weight', 0.2D, 'rationale', '')" for n in score.NAMES)
+    total = f"named_struct('components', array({parts}), 'total', CAST(id % 7 AS DOUBLE), 'n_components', 5)"
+    frames = spark.range(40).selectExpr("concat('p', lpad(CAST(id % 25 AS STRING), 2, '0')) AS path", "'x.cr2' AS file_name", "CASE WHEN id % 3 = 0 THEN (id DIV 9) * 255 END AS hash", f"{total} AS score")
+    want = report.report_groups(frames, 4).selectExpr("group_id", "n_members", "diameter", "conflicted").collect()
+    assert sum(x.n_members for x in want) == 40 and sorted(x.group_id for x in want) == list(range(len(want)))
+    assert sum(x.n_members == 1 for x in want) >= 26  # 26 frames have no hash
+    monkeypatch.setattr(report, "grouped", None)
+    got = report.group_facts(frames, 4).select("group_id", "n_members", "diameter", "conflicted")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    assert "score" not in got._jdf.queryExecution().optimizedPlan().toString()
