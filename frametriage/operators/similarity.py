@@ -216,18 +216,6 @@ def groups(items: DataFrame, t: int) -> DataFrame:
     return hashed.join(classes.select("hash", "root").join(named, "root").select("hash", "group_id"), "hash").select("item", "hash", "group_id")
 
 
-def _triangle(dealt: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, a < b: all pairs of the distinct hashes of equal keys. Each row goes to the tasks of its row and column of a triangular grid.
-
-    dealt: keys, hash, side (of the keys' grid) and block (under side).
-    """
-    last = (F.col("side") - 1).cast("long")
-    rows = dealt.select(*keys, F.col("hash").alias("a"), F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), last)).alias("j"))
-    columns = dealt.select(*keys, F.col("hash").alias("b"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"))
-    once = (F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))
-    return rows.join(columns, [*keys, "i", "j"]).where(once).select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
 def _inner_blocks(own: DataFrame, *values: str) -> DataFrame:
     """group_id, pair: blocks of the rows of each group that has two or more. A large group's are dealt over a grid of its own."""
     sides = own.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id", F.ceil(F.col("n") / GROUP_ROWS).alias("side"))
@@ -239,6 +227,15 @@ def _far(t: int, x: np.ndarray, y: np.ndarray) -> bool:
     return any(d.max(initial=0) > t for _, _, d in _distances(x, y, False))
 
 
+def _far_pairs(t: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (group,), (x, p), (y, q), same in _pairs_of(batches, "hash", "item"):
+        if not _far(t, np.unique(x), np.unique(y)):  # copies alone are not compared one by one
+            continue
+        for i, j, d in _chosen(x, y, same, lambda d: d > t):
+            a, b = p[i], q[j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), group, np.int64)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype(np.int32))], ["group_id", "first", "second", "distance"])
+
+
 def _far_groups(t: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (group,), (x,), (y,), _ in _pairs_of(batches, "hash"):
         if _far(t, x, y):
@@ -251,22 +248,12 @@ def _most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([most], pa.int32())], ["group_id", "most"])
 
 
-def _inner_pairs(membership: DataFrame) -> DataFrame:
-    """group_id, a < b: pairs of distinct hashes in one group. A large group's are dealt over a grid of its own."""
-    own = membership.select("group_id", "hash").distinct()
-    sides = own.groupBy("group_id").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("side"))
-    dealt = join_back(own, sides, ["group_id"]).withColumn("block", F.pmod(F.xxhash64("hash"), F.col("side")))
-    return _triangle(dealt, ["group_id"])
-
-
 def conflicts(membership: DataFrame, t: int) -> DataFrame:
-    """group_id, first < second, distance, threshold: items of a group that are not similar themselves."""
+    """group_id, first < second, distance, threshold: items of a group that are not similar themselves. As many rows as there are such pairs."""
     t = _threshold(t)
-    far = _inner_pairs(membership).withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") > t)
-    x = membership.select("group_id", F.col("item").alias("x"), F.col("hash").alias("a"))
-    y = membership.select("group_id", F.col("item").alias("y"), F.col("hash").alias("b"))
-    found = far.join(x, ["group_id", "a"]).join(y, ["group_id", "b"])
-    return found.select("group_id", F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"), "distance", F.lit(t).alias("threshold"))
+    items = membership.select(F.col("group_id").cast("long").alias("group_id"), "hash", F.col("item").cast("long").alias("item"))
+    found = _inner_blocks(items, "hash", "item").mapInArrow(functools.partial(_far_pairs, t), "group_id long, first long, second long, distance int")
+    return found.withColumn("threshold", F.lit(t))
 
 
 def _inner_hashes(membership: DataFrame) -> DataFrame:

@@ -257,6 +257,17 @@ def test_diameters_of_negative_and_equal_hashes(spark, monkeypatch, rows):
     assert "MapInArrow" in similarity.diameters(own)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("rows", [3, 8192])
+def test_conflicts_of_repeated_hashes(spark, monkeypatch, rows):
+    monkeypatch.setattr(similarity, "GROUP_ROWS", rows)
+    r = random.Random(rows)
+    own = [(i, r.choice([0, 1, 7, -1, 255]), int(i > 20)) for i in range(30)] + [(30, 3, 2), (31, 3, 2)]
+    df = spark.createDataFrame(own, "item long, hash long, group_id long")
+    far = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    want = [(g, i, j, far(a, b), 6) for i, a, g in own for j, b, x in own if i < j and g == x and far(a, b) > 6]
+    assert sorted(tuple(x) for x in similarity.conflicts(df, 6).select("group_id", "first", "second", "distance", "threshold").collect()) == want
+
+
 @pytest.mark.parametrize("rows", [3, 8192])
 def test_conflicted_without_conflicts(spark, monkeypatch, rows):
     """The groups with a conflict, without the pairs being made."""
