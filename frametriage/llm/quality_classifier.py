@@ -8,6 +8,7 @@ projected on the output weights first and each word's projection is remembered.
 from __future__ import annotations
 
 import functools
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ from .subwords import BITS, WordSums, document
 
 #: Bytes of sample text that the driver takes at most.
 SAMPLE_BYTES = 48_000_000
+#: A bucket of a text and its share of the features.
+FEATURE = np.dtype([("id", np.int32), ("share", np.float32)])
 
 
 def id_fold(id_col, n: int):
@@ -61,6 +64,20 @@ def labelled_sample(docs: DataFrame, known: DataFrame, label_col: str, per_label
     return [(r["most"]["text"], r[label_col]) for r in sorted(rows, key=lambda r: (r["doc_id"], str(r[label_col])))]
 
 
+def _features(sample: list[tuple[str, int]], file) -> list[np.ndarray]:
+    """Each text's buckets and their shares, kept in the file: of long texts they are several times the sample's size."""
+    sizes = []
+    for text, _ in sample:
+        ids, share = document(text, patterns=True)
+        own = np.empty(len(ids), FEATURE)
+        own["id"], own["share"] = ids, share
+        file.write(own.tobytes())
+        sizes.append(len(own))
+    file.flush()
+    data = np.asarray(np.memmap(file, FEATURE, "r")) if any(sizes) else np.empty(0, FEATURE)
+    return np.split(data, np.cumsum(sizes)[:-1])
+
+
 def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 12, rate: float = 20.0, batch: int = 32, least_steps: int = 400, seed: int = 11) -> tuple[np.ndarray, float]:
     """The projected score of each bucket (for label 1 over label 0), and the bias. Classes weigh the same.
 
@@ -70,36 +87,34 @@ def train(sample: list[tuple[str, int]], *, dim: int = 8, epochs: int = 12, rate
     labels = np.array([int(y) for _, y in sample])
     if len(set(labels.tolist())) < 2:
         return np.zeros((1 << BITS, 1), np.float32), float(np.sign(labels.mean() - 0.5)) * 5 if len(labels) else 0.0
-    docs = [document(t, patterns=True) for t, _ in sample]
     r = np.random.default_rng(seed)
     vectors = r.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
     weight = len(labels) / (2 * np.bincount(labels, minlength=2))
-    batches = -(-len(docs) // batch)
+    batches = -(-len(sample) // batch)
     epochs = max(epochs, -(-least_steps // batches))
     steps, step = epochs * batches, 0
-    for _ in range(epochs):
-        order = r.permutation(len(docs))
-        for at in range(0, len(order), batch):
-            own = [i for i in order[at : at + batch] if len(docs[i][0])]
-            if not own:
-                continue
-            lr = rate * (1 - step / steps)
-            step += 1
-            ids = np.concatenate([docs[i][0] for i in own])
-            share = np.concatenate([docs[i][1] for i in own])
-            starts = np.cumsum([0, *(len(docs[i][0]) for i in own[:-1])])
-            hidden = np.add.reduceat(vectors[ids] * share[:, None], starts, axis=0)
-            z = hidden @ out + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(own)), labels[own]] -= 1
-            p *= weight[labels[own], None] / len(own)
-            back = p @ out.T
-            out -= 0.1 * lr * hidden.T @ p
-            bias -= 0.01 * lr * p.sum(axis=0)
-            for i, step_back in zip(own, back, strict=True):  # a document's buckets are distinct
-                vectors[docs[i][0]] -= lr * docs[i][1][:, None] * step_back
+    with tempfile.TemporaryFile() as file:
+        docs = _features(sample, file)
+        for _ in range(epochs):
+            order = r.permutation(len(sample))
+            for at in range(0, len(order), batch):
+                own = [i for i in order[at : at + batch] if len(docs[i])]
+                if not own:
+                    continue
+                lr = rate * (1 - step / steps)
+                step += 1
+                hidden = np.stack([np.add.reduceat(vectors[docs[i]["id"]] * docs[i]["share"][:, None], [0], axis=0)[0] for i in own])
+                z = hidden @ out + bias
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                p /= p.sum(axis=1, keepdims=True)
+                p[np.arange(len(own)), labels[own]] -= 1
+                p *= weight[labels[own], None] / len(own)
+                back = p @ out.T
+                out -= 0.1 * lr * hidden.T @ p
+                bias -= 0.01 * lr * p.sum(axis=0)
+                for i, step_back in zip(own, back, strict=True):  # a document's buckets are distinct
+                    vectors[docs[i]["id"]] -= lr * docs[i]["share"][:, None] * step_back
     side = out[:, 1] - out[:, 0]
     return (vectors @ side)[:, None].astype(np.float32), float(bias[1] - bias[0])
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -16,32 +17,44 @@ from .common import LONG_WORD, MEMO_BYTES
 BITS = 17
 SHORTEST, LONGEST = 2, 5
 GRID = 2.0**24
+#: Bytes of words whose n-grams are held at the same time.
+BLOCK = 1 << 16
 #: Odd multipliers of 64 bits.
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and their n-grams, and the number of each one's word.
+def grams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all words and their n-grams, and the number of each one's word, block by block.
 
     N-grams are hashed together: each longer one from the shorter one at the same place, by multiply and add modulo 2^64.
+    A block has those that begin in so many bytes, in the middle of a word too, so a word of any length takes no more memory.
     """
     marked = [f"<{w}>".encode() for w in words]
-    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
-    word, end = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
-    at, h = np.arange(len(data)), data
+    ends = np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))
+    data = np.frombuffer(b"".join(marked), np.uint8)
     hashes, rows = [np.fromiter(map(zlib.crc32, marked), np.uint64, len(marked))], [np.arange(len(words))]
-    for size in range(2, LONGEST + 1):
-        h = h[:-1] * FACTOR + data[size - 1 :]
-        if size >= SHORTEST:
-            whole = at[: len(h)] + size <= end[: len(h)]
-            hashes.append(h[whole] * FACTOR + np.uint64(size))
-            rows.append(word[: len(h)][whole])
-    return (np.concatenate(hashes) * MIX >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
+    for start in range(0, len(data), BLOCK):
+        h = part = data[start : start + BLOCK + LONGEST - 1].astype(np.uint64)
+        n = min(BLOCK, len(part))
+        first, last = np.searchsorted(ends, [start, start + n - 1], side="right")
+        own = ends[first : last + 1] - start
+        sizes = np.diff(np.minimum(own, n), prepend=0)
+        word, end = np.repeat(np.arange(first, last + 1), sizes), np.repeat(own, sizes)
+        at = np.arange(n)
+        for size in range(2, LONGEST + 1):
+            h = h[:-1] * FACTOR + part[size - 1 :]
+            if size >= SHORTEST:
+                k = min(n, len(h))
+                whole = at[:k] + size <= end[:k]
+                hashes.append(h[:k][whole] * FACTOR + np.uint64(size))
+                rows.append(word[:k][whole])
+        yield (np.concatenate(hashes) * MIX >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows)
+        hashes, rows = [], []
 
 
 #: Begins what stands for a word n-gram of which only the pattern counts: a word, and the same one that far behind it.
 PATTERN = "\x01"
+BACK = [f"{PATTERN}{k}" for k in range(64)]
 
 
 def words_of(text: str, patterns: bool = False) -> list[str]:
@@ -52,9 +65,9 @@ def words_of(text: str, patterns: bool = False) -> list[str]:
         found = []
         for i, w in enumerate(words):
             if w in last:
-                found.append((i - last[w]).bit_length())
+                found.append(BACK[(i - last[w]).bit_length()])
             last[w] = i
-        words += [f"{PATTERN}{k}" for k in found]
+        words += found
     return words
 
 
@@ -63,10 +76,11 @@ def document(text: str, patterns: bool = False) -> tuple[np.ndarray, np.ndarray]
     counts = Counter(words_of(text, patterns))
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0, np.float32)
-    ids, rows = grams(list(counts))
-    ids, at = np.unique(ids, return_inverse=True)
-    n = np.bincount(at, weights=np.fromiter(counts.values(), np.float64, len(counts))[rows])
-    return ids, (n / n.sum()).astype(np.float32)
+    often, n = np.fromiter(counts.values(), np.float64, len(counts)), np.zeros(1 << BITS)
+    for ids, rows in grams(list(counts)):
+        n += np.bincount(ids, weights=often[rows], minlength=1 << BITS)
+    ids = np.flatnonzero(n)
+    return ids, (n[ids] / n.sum()).astype(np.float32)
 
 
 class WordSums:
@@ -82,9 +96,11 @@ class WordSums:
 
     def words(self, words: list[str]) -> np.ndarray:
         """A row of sums for each word."""
-        ids, rows = grams(words)
-        columns = [np.bincount(rows, weights=c, minlength=len(words)) for c in self.table[ids].T]
-        return np.stack([*columns, np.bincount(rows, minlength=len(words))], axis=1)
+        out = np.zeros((self.rows.shape[1], len(words)))
+        for ids, rows in grams(words):
+            for own, c in zip(out, [*self.table[ids].T, None], strict=True):
+                own += np.bincount(rows, weights=c, minlength=len(words))
+        return out.T
 
     def text(self, text: str, patterns: bool = False) -> np.ndarray:
         """Of the features' scores their mean, last their number."""

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -178,6 +179,43 @@ def test_word_sums_are_document_means():
             assert np.allclose(WordSums(table, memo).text(text)[:-1], want, atol=1e-5)
 
 
+def peak_mb(f):
+    """MB that f allocates at a time, by Python and numpy."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_long_word_takes_little_memory():
+    sums, word = WordSums(np.zeros((1 << 17, 1), np.float32)), "xyz" * 700_000
+    assert peak_mb(lambda: sums.text(f"a {word} b", patterns=True)) < 60
+    assert peak_mb(lambda: document(f"a {word} b", patterns=True)) < 60
+
+
+def test_ngrams_across_blocks(monkeypatch):
+    r = random.Random(3)
+    table = np.random.default_rng(1).normal(size=(1 << 17, 2)).astype(np.float32)
+    texts = [" ".join("".join(r.choices("abcé漢😀", k=r.choice([1, 2, 3, 9, 40]))) for _ in range(30)) for _ in range(20)]
+
+    def found():
+        sums = WordSums(table)
+        return [[*(x.tolist() for x in document(t, patterns=True)), sums.text(t, patterns=True).tolist()] for t in texts]
+
+    whole = found()
+    for block in (1, 2, 7, 64):
+        monkeypatch.setattr("frametriage.llm.subwords.BLOCK", block)
+        assert found() == whole
+
+
+def test_training_on_long_texts_takes_little_memory():
+    r = random.Random(4)
+    sample = [("".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789  ", k=40_000)), i % 2) for i in range(160)]
+    assert peak_mb(lambda: train(sample, epochs=1, least_steps=0)) < 50
+
+
 def test_models_on_odd_rows(spark):
     docs = odd(spark).withColumn("lang", quality_rules.F.lit(None).cast("string"))
     none = docs.limit(0)
